@@ -22,7 +22,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,8 +53,14 @@ class Vocabulary:
         self.text_of = shown
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("a piece goes beyond a word")
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.whole = {p for p in self.ids if not bpe or len(p) == 1 or self.merged(p) == [p]}
+        self.fits: dict[int, bool] = {}
+        self.names = [p for p, _ in pieces]
+        self.found = ahocorasick.Automaton()  # all pieces that end at a position, the longest first
+        for p, k in self.ids.items():
+            if not bpe or len(p) == 1 or self.merged(p) == [p]:
+                self.found.add_word(p, (len(p), k))
+        if self.ids:
+            self.found.make_automaton()
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -80,12 +89,12 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fit(self, a: str, b: str) -> bool:
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            got = self.fits[a, b] = self.merged(a + b) == [a, b]
+    def fit(self, key: int) -> bool:
+        """Whether two pieces, packed as left * 2^20 + right, stay as they are side by side."""
+        if len(self.fits) > 2_000_000:
+            self.fits.clear()
+        a, b = self.names[key >> 20], self.names[key & 0xFFFFF]
+        got = self.fits[key] = self.merged(a + b) == [a, b]
         return got
 
     def fallback(self, c: str) -> list[int]:
@@ -94,10 +103,9 @@ class Vocabulary:
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """Ids of sorted distinct words, by one walk over their trie."""
         out, before = [], ""
-        # at depth i of the path: the last piece (None: no piece ends here, a character of its own bytes) and its start, the score
-        last: list[str | None] = [""]
-        start, best = [0], [0.0]
-        whole, ids, fits, longest = self.whole, self.ids, self.fits, self.longest
+        # at depth i of the path: the last piece (-1: a character of its own bytes, or the root), where it starts, the score
+        last, start, best = [-1], [0], [0.0]
+        fits, longest, bpe, found, score = self.fits, self.longest, self.bpe, self.found, self.score
         for word in words:
             n, i = min(len(word), len(before)), 0
             if word[:n] == before[:n]:
@@ -106,38 +114,44 @@ class Vocabulary:
                 while word[i] == before[i]:
                     i += 1
             del last[i + 1 :], start[i + 1 :], best[i + 1 :]
-            for end in range(i + 1, len(word) + 1):
-                piece, at, value = None, end - 1, None
-                if self.bpe:
-                    for p in range(max(0, end - longest), end):
-                        t = word[p:end]
-                        if t in whole:
-                            left = last[p]
-                            if not left:  # at the beginning, or after a character of its own
-                                if p and left is not None:
-                                    continue
-                                piece, at = t, p
-                                break
-                            good = fits.get((left, t))
-                            if good if good is not None else self.fit(left, t):
-                                piece, at = t, p
-                                break
-                else:
-                    for p in range(max(0, end - longest), end):
-                        k = ids.get(word[p:end])
-                        if k is not None and (value is None or best[p] + self.score[k] > value):
-                            piece, at, value = word[p:end], p, best[p] + self.score[k]
-                    if piece is None:
-                        value = best[end - 1] - 1e4
-                last.append(piece)
-                start.append(at)
-                best.append(value or 0.0)
-            found, end = [], len(word)
+            size = len(word) + 1
+            last += [-1] * (size - len(last))
+            start += range(len(start) - 1, size - 1)
+            if bpe:
+                done = i
+                for end, (length, k) in found.iter(word, max(0, i - longest + 1)) if self.ids else ():
+                    if end < done:
+                        continue
+                    at = end + 1 - length
+                    left = last[at]
+                    # after a character of its own a piece begins anew, as nothing merges with such a character
+                    if left >= 0:
+                        key = left << 20 | k
+                        good = fits.get(key)
+                        if not (good if good is not None else self.fit(key)):
+                            continue
+                    last[end + 1], start[end + 1], done = k, at, end + 1
+            else:
+                best += [None] * (size - len(best))
+                at_end: dict[int, list[tuple[int, int]]] = {}
+                for end, piece in found.iter(word, max(0, i - longest + 1)) if self.ids else ():
+                    at_end.setdefault(end + 1, []).append(piece)
+                for end in range(i + 1, size):
+                    for length, k in at_end.get(end, ()):
+                        value = best[end - length] + score[k]
+                        if best[end] is None or value > best[end]:
+                            last[end], start[end], best[end] = k, end - length, value
+                    if best[end] is None:
+                        best[end] = best[end - 1] - 1e4
+            ids, end = [], len(word)
             while end:
-                piece, at = last[end], start[end]
-                found.append([ids[piece]] if piece is not None else self.fallback(word[at:end]))
+                at = start[end]
+                if last[end] >= 0:
+                    ids.append(last[end])
+                else:
+                    ids += reversed(self.fallback(word[at:end]))
                 end = at
-            out.append([k for f in reversed(found) for k in f])
+            out.append(ids[::-1])
             before = word
         return out
 
@@ -145,18 +159,14 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; keeps what it has encoded, up to a bound."""
 
-    most = 400_000
+    most = 800_000
 
-    def __init__(self, path: str = MODEL, vocabulary: Vocabulary | None = None):
-        self.path, self.vocabulary = path, vocabulary
+    def __init__(self, path: str = MODEL):
+        self.path, self.vocabulary = path, None
         self.reset()
 
-    def __getstate__(self):
-        return self.path, self.vocabulary if self.path is None else None
-
-    def __setstate__(self, state):
-        self.path, self.vocabulary = state
-        self.reset()
+    def __reduce__(self):  # the tasks of a Python worker share one
+        return _encoder, (self.path,)
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
@@ -174,7 +184,7 @@ class Encoder:
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + total] = np.fromiter((k for x in ids for k in x), np.int32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
         self.size[n : n + len(new)] = sizes
         self.first[n : n + len(new)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(new) else 0
         self.used += total
@@ -192,7 +202,7 @@ class Encoder:
                 self.reset()
             self.learn(need)
         get = self.at.__getitem__
-        place = np.fromiter((get(w) for c in cut for w in c), np.int64, sum(map(len, cut)))
+        place = np.fromiter(map(get, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         size = self.size[place]
         ids = self.flat[ranges(self.first[place], size)]
         edge = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
@@ -218,6 +228,11 @@ class Encoder:
         return data[keep], np.concatenate([[0], np.cumsum(keep)])[edge]
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def encoded(docs: DataFrame, encoder: Encoder | None = None) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip): round_trip tells whether decoding the ids gives the text back, byte for byte."""
     encoder = encoder or Encoder()
