@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, line_dedup, pieces, toxicity
+from . import chat, decontaminate, hmm, jaccard, line_dedup, pieces, token_counts, toxicity, transport, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.corpus_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.pairs(_table(spark, sf_dir, "documents"))
 
@@ -22,10 +26,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.rewritten(docs.select("doc_id", "text"), counter="removed_lines")
 
 
+def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as media: their markup is the video of a stream, their address the audio."""
+    return transport.parsed(transport.muxed(_table(spark, sf_dir, "pages"), "html", "url", "page_id"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_index(_table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -34,8 +47,16 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_counts(_table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_line_dedup, op5_decontaminate, op7_toxicity, op8_pieces)}
+    return {f.__name__: f for f in (op1_hmm_scores, op2_jaccard_join, op3_line_dedup, op4_transport_streams, op5_decontaminate, op6_warc_normaliser, op7_toxicity, op8_pieces, op9_token_counts, op10_chat_format)}
 
 
 #: The first copy of a line, by doc_id, then by place, stays; lines of fewer than 20 bytes always stay.
@@ -54,4 +75,4 @@ FROM ranked GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op10_chat_format": chat.SQL}
