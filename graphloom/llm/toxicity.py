@@ -289,28 +289,33 @@ def fitted(docs: DataFrame, labels: DataFrame, restorer: Restorer, s: Settings)
     lists = got["words"].combine_chunks()
     doc = np.repeat(np.arange(len(y)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     coded = pc.dictionary_encode(lists.flatten())
-    code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     size = np.bincount(doc, minlength=len(y))
-    parts, labels_of = [], []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    labels_of: list[str] = []
 
-    def take(of: np.ndarray, at: dict[str, int] | list[str]) -> None:
+    def take(of: np.ndarray, strings: pa.Array, end: str) -> None:
+        """Features of one kind that enough toxic documents have: `of` gives each word's, -1 for none."""
         has = of[code] >= 0
         pair, n = np.unique(of[code[has]] * len(y) + doc[has], return_counts=True)
-        dense = n >= s.dense * size[pair % len(y)]
-        for keep, mark in ((slice(None), ""), (dense, "%")):
-            parts.append((pair[keep] // len(y) + len(labels_of), pair[keep] % len(y)))
-            labels_of.extend(f + mark for f in at)
-
-    take(np.arange(len(names)), names)
+        for keep, mark in ((np.ones(len(n), bool), ""), (n >= s.dense * size[pair % len(y)], "%")):
+            feature, row = pair[keep] // len(y), pair[keep] % len(y)
+            seen = np.bincount(feature, weights=y[row], minlength=len(strings)) >= s.least
+            number = np.cumsum(seen) - 1 + len(labels_of)
+            rows = seen[feature]
+            parts.append((number[feature[rows]], row[rows]))
+            labels_of.extend(x + end + mark for x in strings.filter(pa.array(seen)).to_pylist())
+
+    take(np.arange(len(names)), names, "")
     for k in s.stems:
-        at: dict[str, int] = {}
-        take(np.array([at.setdefault(w[:k] + "*", len(at)) if len(w) >= k else -1 for w in names]), at)
+        stem = pc.dictionary_encode(pc.utf8_slice_codeunits(names, 0, k))
+        of = stem.indices.to_numpy().astype(np.int64)
+        of[pc.utf8_length(names).to_numpy() < k] = -1
+        take(of, stem.dictionary, "*")
+    del lists, coded, got
     code, doc, names = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), labels_of
     order = np.lexsort((doc, code))
     code, doc = code[order], doc[order]
-    seen = np.bincount(code, weights=y[doc], minlength=len(names))
-    keep = seen[code] >= s.least
-    code, doc = code[keep], doc[keep]
     if not len(code):
         return {}, -1.0
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))

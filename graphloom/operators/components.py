@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import Graph
 from ..session import cut
 
 
@@ -39,3 +40,17 @@ def connected_pairs(pairs: DataFrame, most: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most} rounds")
     roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def components(graph: Graph) -> DataFrame:
+    """(id, component) of every vertex; directions play no part, a vertex without edges is a component of its own."""
+    found = connected_pairs(graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def giant_component(graph: Graph) -> Graph:
+    """The vertices and edges of the largest component; among equals that of the least id."""
+    found = cut(components(graph))
+    largest = found.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
+    keep = found.join(F.broadcast(largest), "component", "left_semi").select("id")  # one row
+    return graph.induced(graph.vertices.join(keep, "id", "left_semi"))

@@ -2,14 +2,330 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..graph import Graph
+from ..operators import betweenness as bc
+from ..operators import centrality, components, construction, degree, filters, louvain, partition, pregel, statistics
+from ..operators.metrics import computed
+from ..session import cut
+from ..sinks import csv as csv_sink
+from ..sinks.gexf import save_gexf
+from ..sinks.jsonl import save_jsonl
+from ..sources.gexf import read_gexf
+from ..sources.items import sampled
+from ..sources.jsonl import read_jsonl
+from . import adapters, sql
+from .config import NetworkConfig
+from .networks import AuthorNetwork, EgoNetwork
+
+_found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _found[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in sql.QUERIES.items() if k in _found}
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
+
+
+def _config(**more) -> NetworkConfig:
+    return NetworkConfig("AuthorNetwork", "-", "-", **more)
+
+
+# ---- construction
+
+
+@query
+def build_edges_merge(spark, sf_dir):
+    return construction.merged_edges(adapters.trade_rows(spark, sf_dir))
+
+
+@query
+def vertex_aggregate(spark, sf_dir):
+    items = construction.author_items(adapters.event_items(spark, sf_dir))
+    found = construction.merged_vertices(construction.author_vertices(items))
+    return found.select("id", "nickName", "activity", "rating", "firstItemDate", "lastItemDate", "urlNumber", "domainNumber", "parentData")
+
+
+@query
+def author_network_edges(spark, sf_dir):
+    return AuthorNetwork().build(adapters.event_items(spark, sf_dir)).edges
+
+
+@query
+def ego_vertices(spark, sf_dir):
+    found = EgoNetwork().build(adapters.event_items(spark, sf_dir)).vertices
+    return found.select("id", "nickId", "nickName", "activity", "rating", "firstItemDate", "lastItemDate", "urlNumber", "domainNumber", "parentData")
+
+
+@query
+def ego_edges(spark, sf_dir):
+    return EgoNetwork().build(adapters.event_items(spark, sf_dir)).edges
+
+
+@query
+def ego_expand(spark, sf_dir):
+    return construction.ego_expansion(adapters.event_items(spark, sf_dir), ego=3, k=5).select("item_id", "nick_id", "item_parentNickId")
+
+
+@query
+def drop_isolated(spark, sf_dir):
+    customers = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return Graph(customers, adapters.affinity(spark, sf_dir).edges).drop_isolated().vertices
+
+
+@query
+def dangling_ends(spark, sf_dir):
+    customers = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return Graph(customers, adapters.affinity(spark, sf_dir).edges).dangling()
+
+
+@query
+def partitioned_edges(spark, sf_dir):
+    edges = adapters.flow(spark, sf_dir).edges
+    frames = [partition.partitioned(edges, s, 4).groupBy("src").agg(F.sum("weight").alias("w")).agg(F.lit(s).alias("strategy"), F.count("*").alias("sources"), F.sum("w").alias("weight")) for s in partition.STRATEGIES]
+    return statistics.union_all(frames)
+
+
+@query
+def triplets(spark, sf_dir):
+    g = adapters.flow(spark, sf_dir)
+    g = g.map_vertices(parity=F.col("id") % 2).map_edges(weight=F.col("weight") * 2)
+    return g.triplets().select("src", "dst", "weight", "src_parity", "dst_parity")
+
+
+# ---- degrees, filters, statistics
+
+
+@query
+def degrees(spark, sf_dir):
+    return degree.degrees(adapters.flow(spark, sf_dir), degree.DEGREES[:3])
+
+
+@query
+def degree_only(spark, sf_dir):
+    return degree.degrees(adapters.flow(spark, sf_dir), ("degree",))
+
+
+@query
+def weighted_degree(spark, sf_dir):
+    return degree.degrees(adapters.trade(spark, sf_dir), ("degree", "weightedDegree"))
+
+
+@query
+def weighted_degrees(spark, sf_dir):
+    return degree.degrees(adapters.trade(spark, sf_dir))
+
+
+def _measured(spark, sf_dir) -> Graph:
+    return computed(adapters.trade(spark, sf_dir), ["WEIGHTEDDEGREES"], _config())
+
+
+@query
+def metric_filter_subgraph(spark, sf_dir):
+    return filters.filtered(_measured(spark, sf_dir), [filters.RangeFilter("degree", 5, None)]).edges.select("src", "dst", "weight")
+
+
+@query
+def filter_chain(spark, sf_dir):
+    chain = [filters.RangeFilter("degree", 2, 1000), filters.RangeFilter("weightedInDegree", None, 40), filters.RangeFilter("degree", 2, 1000)]
+    return filters.filtered(_measured(spark, sf_dir), chain).vertices
+
+
+@query
+def top_vertices(spark, sf_dir):
+    return statistics.top_vertices(_measured(spark, sf_dir).vertices, "weightedDegree", 25)
+
+
+@query
+def summary_stats(spark, sf_dir):
+    return _round(statistics.summary(_measured(spark, sf_dir).vertices, ["degree", "weightedDegree", "inDegree"]), "mean", "variance")
+
+
+@query
+def quantiles(spark, sf_dir):
+    return statistics.quantiles(_measured(spark, sf_dir).vertices, "weightedDegree", 4)
+
+
+@query
+def percentile_fences(spark, sf_dir):
+    return statistics.fences(statistics.percentiles(_measured(spark, sf_dir).vertices, "weightedDegree"), 100)
+
+
+@query
+def histogram(spark, sf_dir):
+    return _round(statistics.histogram(_measured(spark, sf_dir).vertices, "degree", 20, 0.0, 60.0), "start")
+
+
+@query
+def global_rank(spark, sf_dir):
+    return statistics.ranked(_measured(spark, sf_dir).vertices.select("id", "weightedDegree"), "weightedDegree").select("id", "rank")
+
+
+@query
+def sampled_scan(spark, sf_dir):
+    return sampled(adapters.event_items(spark, sf_dir), 20).select(F.count("*").over(_all()).alias("n")).distinct()
+
+
+def _all():
+    from pyspark.sql import Window
+
+    return Window.partitionBy(F.lit(1))  # over 20 rows
+
+
+@query
+def union_distinct(spark, sf_dir):
+    e = adapters.flow(spark, sf_dir).edges
+    return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+
+
+@query
+def dedup_first(spark, sf_dir):
+    items = adapters.event_items(spark, sf_dir).select("item_id", "nick_id")
+    return items.unionByName(items.where("nick_id % 2 = 0")).dropDuplicates(["item_id"])
+
+
+@query
+def scalar_functions(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events")
+    raw, ms = F.concat(F.lit('<a b="'), F.col("event_type"), F.lit('">&')), adapters.millis(e, "ts")
+    shown = scalar.shown_date(ms)
+    return e.select("event_id", scalar.escaped(raw).alias("xml"), shown.alias("day"), scalar.read_date(shown).alias("back"), scalar.first_of(F.concat(F.col("event_type"), F.lit("||x"))).alias("head"), scalar.last_of(F.concat(F.col("event_type"), F.lit("||x"))).alias("tail"), scalar.zero(F.lit(None)).alias("none"))
+
+
+# ---- graph algorithms
+
+
+@query
+def eigen_centrality(spark, sf_dir):
+    return _round(centrality.eigenvector(adapters.flow(spark, sf_dir), 20), "eigenCentrality")
+
+
+@query
+def eigen_centrality_undirected(spark, sf_dir):
+    return _round(centrality.eigenvector(adapters.flow(spark, sf_dir), 10, directed=False), "eigenCentrality")
+
+
+@query
+def pagerank(spark, sf_dir):
+    return _round(centrality.pagerank(adapters.flow(spark, sf_dir)), "pageRank")
+
+
+@query
+def personalized_pagerank(spark, sf_dir):
+    return _round(centrality.pagerank(adapters.flow(spark, sf_dir), tolerance=0.0001, source=1), "pageRank")
+
+
+@query
+def connected_components(spark, sf_dir):
+    return components.components(adapters.affinity(spark, sf_dir))
+
+
+@query
+def giant_component(spark, sf_dir):
+    return components.giant_component(adapters.affinity(spark, sf_dir)).edges
+
+
+@query
+def top_clusters(spark, sf_dir):
+    return statistics.top_clusters(components.components(adapters.affinity(spark, sf_dir)), "component")
+
+
+@query
+def pregel_hops(spark, sf_dir):
+    """Steps from user 1 to every user, by a vertex program."""
+    g = adapters.flow(spark, sf_dir)
+    far = F.lit(1_000_000).cast("long")
+    start = {"hops": F.when(F.col("id") == 1, F.lit(0).cast("long")).otherwise(far), "moved": F.col("id") == 1}
+    update = {"hops": F.least("hops", F.coalesce("msg", far)), "moved": F.coalesce("msg", far) < F.col("hops")}
+    return pregel.pregel(g, start, F.col("hops") + 1, F.min, update, F.col("moved"), 20).select("id", "hops")
+
+
+@query
+def louvain_communities(spark, sf_dir):
+    return louvain.communities(adapters.affinity(spark, sf_dir))
+
+
+@query
+def louvain_compat(spark, sf_dir):
+    return louvain.communities(adapters.affinity(spark, sf_dir), louvain.Settings("compat"))
+
+
+@query
+def modularity_score(spark, sf_dir):
+    g = adapters.affinity(spark, sf_dir)
+    return _round(louvain.modularity_score(g, components.components(g).withColumnRenamed("component", "modularity")), "q")
+
+
+def _heaviest(spark, sf_dir) -> Graph:
+    return adapters.flow(spark, sf_dir)
+
+
+@query
+def betweenness(spark, sf_dir):
+    return _round(bc.betweenness(_heaviest(spark, sf_dir)), "betweennessCentrality")
+
+
+@query
+def high_betweenness_set(spark, sf_dir):
+    return _round(bc.high_betweenness_set(_heaviest(spark, sf_dir)), "betweennessCentrality")
+
+
+@query
+def betweenness_of_pivot(spark, sf_dir):
+    """What the shortest paths from the user of the least id give to each vertex."""
+    g = _heaviest(spark, sf_dir)
+    pivot = g.vertices.orderBy("id").limit(1)
+    return _round(bc.dependencies(g, cut(pivot)), "value").where("value > 0")
+
+
+# ---- sinks and sources
+
+
+def _stored(spark, sf_dir) -> Graph:
+    network = EgoNetwork().build(adapters.event_items(spark, sf_dir))
+    g = computed(network, ["DEGREES", "COMPONENT"], _config())
+    return g.with_(vertices=cut(g.vertices), edges=cut(g.edges))
+
+
+def _folder() -> str:
+    return tempfile.mkdtemp(prefix="graphloom-")
+
+
+@query
+def gexf_roundtrip(spark, sf_dir):
+    return read_gexf(spark, save_gexf(_stored(spark, sf_dir), os.path.join(_folder(), "g.gexf"))).vertices.select("id", "nickName", "urlNumber", "degree", "inDegree", "outDegree", "component")
+
+
+@query
+def gexf_roundtrip_edges(spark, sf_dir):
+    return read_gexf(spark, save_gexf(_stored(spark, sf_dir), os.path.join(_folder(), "g.gexf"))).edges.select("src", "dst", "weight")
+
+
+@query
+def jsonl_roundtrip(spark, sf_dir):
+    return read_jsonl(spark, save_jsonl(_stored(spark, sf_dir), os.path.join(_folder(), "g.json"))).edges.select("src", "dst", "weight", "firstItemLink", "lastItemLink", "firstItemDate", "lastItemDate")
+
+
+@query
+def csv_export(spark, sf_dir):
+    _, edges = csv_sink.save_csv(_stored(spark, sf_dir), os.path.join(_folder(), "g"))
+    read = spark.read.option("sep", ";").option("header", True).schema("Source long, Target long, Type string, Id long, Weight long, Label string").csv(edges)
+    return read.select(F.col("Source").alias("src"), F.col("Target").alias("dst"), F.col("Weight").alias("weight"), F.col("Label").alias("label"))
