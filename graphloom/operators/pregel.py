@@ -1,7 +1,8 @@
 """Vertex programs as a loop of joins and aggregations.
 
-The state is written out each `every` rounds with a reliable checkpoint, which keeps the plan short and survives lost executors, and
-is held in the cache in between. What a round's control needs is observed while the state is computed, not by a job of its own.
+The state is written out each round with a reliable checkpoint: a step reads it twice, so a plan that kept the round before would
+double with every round, and a checkpoint survives lost executors. What a round's control needs is observed while the state is
+computed, not by a job of its own.
 """
 
 from __future__ import annotations
@@ -17,35 +18,18 @@ from ..session import cut
 Watch = dict[str, Column]
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame, dict], DataFrame], watch: Watch, go_on: Callable[[int, dict], bool], every: int = 8) -> tuple[DataFrame, int, dict]:
+def iterate(state: DataFrame, step: Callable[[DataFrame, dict], DataFrame], watch: Watch, go_on: Callable[[int, dict], bool]) -> tuple[DataFrame, int, dict]:
     """Apply `step` while `go_on(rounds so far, observed)`; the last state, the rounds and what was observed on it."""
 
-    def settled(df: DataFrame, reliable: bool) -> tuple[DataFrame, dict]:
+    def settled(df: DataFrame) -> tuple[DataFrame, dict]:
         seen = Observation()
-        df = df.observe(seen, *(c.alias(n) for n, c in watch.items()))
-        if reliable:
-            return cut(df), seen.get
-        df = df.persist()
-        df.write.format("noop").mode("overwrite").save()
-        return df, seen.get
+        return cut(df.observe(seen, *(c.alias(n) for n, c in watch.items()))), seen.get
 
-    held: list[DataFrame] = []
-    state, seen = settled(state, True)
+    state, seen = settled(state)
     rounds = 0
     while go_on(rounds, seen):
         rounds += 1
-        reliable = rounds % every == 0
-        state, seen = settled(step(state, seen), reliable)
-        if reliable:
-            for df in held:
-                df.unpersist()
-            held = []
-        else:
-            held.append(state)
-    if held:
-        state = cut(state)
-        for df in held:
-            df.unpersist()
+        state, seen = settled(step(state, seen))
     return state, rounds, seen
 
 

@@ -2,7 +2,7 @@
 
 _TRADE = """trade_rows AS (
   SELECT o_custkey AS src, l_suppkey + 1000000000 AS dst, CAST(1 AS BIGINT) AS weight, l_returnflag AS body, l_linestatus AS link,
-         epoch_ms(l_shipdate) AS date, l_orderkey * 10 + l_linenumber AS ord
+         epoch_us(l_shipdate) // 1000 AS date, l_orderkey * 10 + l_linenumber AS ord
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), trade AS (
   SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight, arg_min(body, (date, ord)) AS firstItemBody, arg_max(body, (date, ord)) AS lastItemBody,
@@ -17,8 +17,8 @@ _AFFINITY = """affinity AS (
   WHERE l_quantity >= 49 AND l_discount >= 0.09 GROUP BY 1, 2
 ), ends AS (SELECT src AS id FROM affinity UNION SELECT dst FROM affinity)"""
 _ITEMS = """e AS (
-  SELECT event_id AS item, user_id AS nick, event_type AS body, 'e' || event_id AS link, epoch_ms(ts) AS date, lag(user_id) OVER w AS pnick, lag(event_id) OVER w AS parent,
-         lag(epoch_ms(ts)) OVER w AS pdate FROM events WINDOW w AS (ORDER BY ts, event_id)
+  SELECT event_id AS item, user_id AS nick, event_type AS body, 'e' || event_id AS link, epoch_us(ts) // 1000 AS date, lag(user_id) OVER w AS pnick, lag(event_id) OVER w AS parent,
+         lag(epoch_us(ts) // 1000) OVER w AS pdate FROM events WINDOW w AS (ORDER BY ts, event_id)
 )"""
 
 
