@@ -67,6 +67,8 @@ def _gram_sets(column: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     start, end, row = words(data, offsets)
     h = hashes(data, start, end)
     rows = len(offsets) - 1
+    if not len(h):
+        return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
     total = np.bincount(row, minlength=rows)
     size = np.where(total >= s.n, total - s.n + 1, np.minimum(total, 1))
     # grams of n words; in a short row the gram takes what words there are
@@ -76,7 +78,7 @@ def _gram_sets(column: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     g = np.zeros(len(at), np.uint64)
     for k in range(s.n):
         there = at + k < (first + total)[owner]
-        g = g * np.uint64(0x9E3779B97F4A7C15) + np.where(there, h[np.minimum(at + k, max(len(h) - 1, 0))] if len(h) else 0, 1)
+        g = g * np.uint64(0x9E3779B97F4A7C15) + np.where(there, h[np.minimum(at + k, len(h) - 1)], np.uint64(1))
     key = np.unique(owner.astype(np.uint64) << np.uint64(32) | mixed(g) >> np.uint64(32))
     return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=rows)
 

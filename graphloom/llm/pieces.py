@@ -14,7 +14,8 @@ Characters without a piece fall back to their bytes.
 Nothing is shuffled; each task reads its texts once. The model's file is a parameter.
 
 Defined cases: a null text gives null ids, an empty one none; a null doc_id stays null; repeated rows each get their ids; other
-columns are ignored; empty tables give empty results; texts and words of any length are encoded whole.
+columns are ignored; empty tables give empty results; texts and words of any length are encoded whole; the
+mark itself in a text reads as a space, as in the library, so that such a text doesn't come back as it was.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .arrays import chunks, flat, lists, ranges
 
 MODEL = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
-_TEXT = re.compile(" +[^ \n]*|[^ \n]+|\n")
+_TEXT = re.compile("[ ▁]+[^ ▁\n]*|[^ ▁\n]+|\n")
 
 
 class Vocabulary:
