@@ -282,14 +282,16 @@ def fitted(docs: DataFrame, labels: DataFrame, restorer: Restorer, s: Settings)
             out = [sorted(w for w, n in reader.read(t, k in rare)[0].items() for _ in range(n)) for k, t in enumerate(texts.to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.string())), batch.column("toxic")], ["doc_id", "words", "toxic"])
 
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, words array<string>, toxic int").orderBy("doc_id", "words").toArrow()
+    got = rows.select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, words array<string>, toxic int").toArrow()
+    got = got.take(pc.sort_indices(got["doc_id"]))
     y = got["toxic"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return {}, -1.0
     lists = got["words"].combine_chunks()
-    doc = np.repeat(np.arange(len(y)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     coded = pc.dictionary_encode(lists.flatten())
-    code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    code, names = coded.indices.to_numpy(), coded.dictionary
+    del lists, coded, got
     size = np.bincount(doc, minlength=len(y))
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     labels_of: list[str] = []
@@ -297,11 +299,12 @@ def fitted(docs: DataFrame, labels: DataFrame, restorer: Restorer, s: Settings)
     def take(of: np.ndarray, strings: pa.Array, end: str) -> None:
         """Features of one kind that enough toxic documents have: `of` gives each word's, -1 for none."""
         has = of[code] >= 0
-        pair, n = np.unique(of[code[has]] * len(y) + doc[has], return_counts=True)
+        pair, n = np.unique(of[code[has]].astype(np.int64) * len(y) + doc[has], return_counts=True)
+        n = n.astype(np.int32)
         for keep, mark in ((np.ones(len(n), bool), ""), (n >= s.dense * size[pair % len(y)], "%")):
-            feature, row = pair[keep] // len(y), pair[keep] % len(y)
+            feature, row = (pair[keep] // len(y)).astype(np.int32), (pair[keep] % len(y)).astype(np.int32)
             seen = np.bincount(feature, weights=y[row], minlength=len(strings)) >= s.least
-            number = np.cumsum(seen) - 1 + len(labels_of)
+            number = (np.cumsum(seen) - 1 + len(labels_of)).astype(np.int32)
             rows = seen[feature]
             parts.append((number[feature[rows]], row[rows]))
             labels_of.extend(x + end + mark for x in strings.filter(pa.array(seen)).to_pylist())
@@ -309,13 +312,12 @@ def fitted(docs: DataFrame, labels: DataFrame, restorer: Restorer, s: Settings)
     take(np.arange(len(names)), names, "")
     for k in s.stems:
         stem = pc.dictionary_encode(pc.utf8_slice_codeunits(names, 0, k))
-        of = stem.indices.to_numpy().astype(np.int64)
+        of = stem.indices.to_numpy().copy()
         of[pc.utf8_length(names).to_numpy() < k] = -1
         take(of, stem.dictionary, "*")
-    del lists, coded, got
+    # each part is in the order of its features and rows, and the numbers of the features go up from part to part
     code, doc, names = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), labels_of
-    order = np.lexsort((doc, code))
-    code, doc = code[order], doc[order]
+    parts.clear()
     if not len(code):
         return {}, -1.0
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
@@ -325,7 +327,7 @@ def fitted(docs: DataFrame, labels: DataFrame, restorer: Restorer, s: Settings)
     odds, taken, x = np.full(len(y), base), [], np.ones((len(y), 1))
     for _ in range(s.rounds):
         p = 1 / (1 + np.exp(-odds))
-        g, h = np.add.reduceat((y - p)[doc], first), np.add.reduceat((p * (1 - p))[doc], first)
+        g, h = _sums(y - p, doc, first), _sums(p * (1 - p), doc, first)
         gain = np.where(g > 0, g * g / (h + 1), 0)
         gain[taken] = 0
         k = int(np.argmax(gain))
@@ -343,6 +345,17 @@ def fitted(docs: DataFrame, labels: DataFrame, restorer: Restorer, s: Settings)
     return weights, min(float(beta[0]), -0.1)
 
 
+def _sums(values: np.ndarray, doc: np.ndarray, first: np.ndarray, run: int = 1 << 19) -> np.ndarray:
+    """Sum of the values of each feature's documents, a run of features at a time."""
+    out, at = np.empty(len(first)), 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + run)))
+        end = first[to] if to < len(first) else len(doc)
+        out[at:to] = np.add.reduceat(values[doc[first[at] : end]], first[at:to] - first[at])
+        at = to
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Logistic regression by Newton's method; the first column is the bias and carries no penalty."""
     penalty = np.full(x.shape[1], ridge)
