@@ -215,8 +215,8 @@ def _search(places: list[int], s: Settings):
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """(sig, size, rep): the least doc_id of the documents with the same set."""
-    return sets.groupBy("sig", "size").agg(F.min("doc_id").alias("rep"))
+    """(sig, size, rep, sketch): the least doc_id of the documents with the same set, and the sketch, which is the same for all."""
+    return sets.groupBy("sig", "size").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
 
 
 def pairs(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -224,13 +224,15 @@ def pairs(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     its least doc_id, and for each further document with an equal set the pair (least doc_id, doc_id, 1.0). All other pairs of the
     full join follow from these by exchanging equal documents, so that thousands of copies cost thousands of rows, not millions."""
     sets, _ = written(gram_sets(docs, s), "gram-sets")
-    least = cut(distinct_sets(sets))
-    copies = sets.select("doc_id", "sig", "size").join(least, ["sig", "size"]).where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    full = sets.withColumnRenamed("doc_id", "rep").join(least, ["sig", "size", "rep"], "left_semi").select("rep", "size", "sketch", "grams")
+    least, _ = written(distinct_sets(sets), "distinct-sets")
+    copies = sets.select("doc_id", "sig", "size").join(least.select("sig", "size", "rep"), ["sig", "size"]).where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    # buckets are formed from sketches; the sets themselves are shuffled to their places in buckets only
+    sketches = least.select("rep", "sketch")
+    full = sets.select(F.col("doc_id").alias("rep"), "size", "sketch", "grams")
     places = s.places()
     schema = "path long, rep long, place int"
 
-    leaves, rows, level = None, full.select("rep", "sketch").mapInArrow(_children(places, s), schema), 0
+    leaves, rows, level = None, sketches.mapInArrow(_children(places, s), schema), 0
     while True:
         count = rows.groupBy("path").agg(F.count("*").alias("m"))
         rows = cut(rows.join(count.where("m > 1"), "path"))
@@ -250,7 +252,7 @@ def pairs(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             each = block.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with"))
             leaves = leaves.unionByName(each.select(F.xxhash64("path", "lo", "hi").alias("bucket"), "rep", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("part") == F.col("lo"), 1).otherwise(2).alias("side"), F.lit(-1).alias("place")))
             break
-        rows = large.select("path", "rep").join(full.select("rep", "sketch"), "rep").select("path", "rep", "sketch").mapInArrow(_children(None, s), schema).distinct()
+        rows = large.select("path", "rep").join(sketches, "rep").select("path", "rep", "sketch").mapInArrow(_children(None, s), schema).distinct()
     searched = leaves.join(masks, "rep", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).join(full, "rep")
     found = searched.select("bucket", "rep", "side", "mask", "place", "sketch", "grams").repartition("bucket").sortWithinPartitions("bucket", "side", "rep").mapInArrow(_search(places, s), "doc_a long, doc_b long, jaccard double")
     return found.distinct().unionByName(copies)
