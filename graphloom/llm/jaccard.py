@@ -99,25 +99,43 @@ def _rows(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes
     return [raw[a * w : (a + n) * w] for a, n in zip(first.tolist(), size.tolist())]
 
 
-def gram_sets(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, sig, size, sketch, grams) of every document that has words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                grams, size = _gram_sets(part.column("text"), s)
-                keep = np.flatnonzero(size)
-                if not len(keep):
-                    continue
+def _over(docs: DataFrame, run, schema: str) -> DataFrame:
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.where("doc_id is not null and text is not null").mapInArrow(run, schema)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, signatures, sizes, grams and where each set begins in them, of a run of texts that have words."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            grams, size = _gram_sets(part.column("text"), s)
+            keep = np.flatnonzero(size)
+            if len(keep):
                 size = size[keep]
                 first = np.concatenate([[0], np.cumsum(size)[:-1]])
-                sketch = _sketches(grams, first, s)
                 sig = np.add.reduceat(mixed(grams.astype(np.uint64) + np.uint64(1)), first)
-                ids = part.column("doc_id").take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(signed(mixed(sig))), pa.array(size.astype(np.int32)), pa.array(_rows(sketch.ravel(), np.arange(len(keep)) * s.width, np.full(len(keep), s.width)), pa.binary()), pa.array(_rows(grams, first, size), pa.binary())], ["doc_id", "sig", "size", "sketch", "grams"])
+                yield part.column("doc_id").take(pa.array(keep)), signed(mixed(sig)), size, grams, first
+
+
+def set_sketches(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, sig, size, sketch) of every document that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sig, size, grams, first in _parts(batches, s):
+            sketch = _rows(_sketches(grams, first, s).ravel(), np.arange(len(size)) * s.width, np.full(len(size), s.width))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sig), pa.array(size.astype(np.int32)), pa.array(sketch, pa.binary())], ["doc_id", "sig", "size", "sketch"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return slim.mapInArrow(run, "doc_id long, sig long, size int, sketch binary, grams binary")
+    return _over(docs, run, "doc_id long, sig long, size int, sketch binary")
+
+
+def gram_sets(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, own, grams): signature and n-grams of every document that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sig, size, grams, first in _parts(batches, s):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sig), pa.array(_rows(grams, first, size), pa.binary())], ["doc_id", "own", "grams"])
+
+    return _over(docs, run, "doc_id long, own long, grams binary")
 
 
 def _matrix(column: pa.Array, s: Settings) -> np.ndarray:
@@ -219,16 +237,24 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
     return sets.groupBy("sig", "size").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
 
 
+def _once(leaves: DataFrame, places: list[int]) -> DataFrame:
+    """The leaves without buckets that hold the same documents as another: of these the first place's stays. Documents that are much
+    alike meet at most places, and would be searched there again and again."""
+    order = F.coalesce(F.create_map(*[x for k, p in enumerate(places) for x in (F.lit(p), F.lit(k))])[F.col("place")], F.lit(len(places)))
+    hashed = [F.bit_xor(F.xxhash64(F.lit(k), "rep")) for k in (1, 2)]
+    by = leaves.where("side = 0").groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), hashed[0].alias("x"), hashed[1].alias("y"), F.min(order).alias("order"))
+    first = by.groupBy("n", "lo", "hi", "x", "y").agg(F.min(F.struct("order", "bucket")).alias("first")).select("first.bucket")
+    return leaves.where("side = 0").join(first, "bucket", "left_semi").unionByName(leaves.where("side <> 0"))
+
+
 def pairs(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of different sets that was found at or above the threshold, each set by
     its least doc_id, and for each further document with an equal set the pair (least doc_id, doc_id, 1.0). All other pairs of the
     full join follow from these by exchanging equal documents, so that thousands of copies cost thousands of rows, not millions."""
-    sets, _ = written(gram_sets(docs, s), "gram-sets")
+    sets, _ = written(set_sketches(docs, s), "set-sketches")
     least, _ = written(distinct_sets(sets), "distinct-sets")
     copies = sets.select("doc_id", "sig", "size").join(least.select("sig", "size", "rep"), ["sig", "size"]).where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    # buckets are formed from sketches; the sets themselves are shuffled to their places in buckets only
     sketches = least.select("rep", "sketch")
-    full = sets.select(F.col("doc_id").alias("rep"), "size", "sketch", "grams")
     places = s.places()
     schema = "path long, rep long, place int"
 
@@ -253,7 +279,10 @@ def pairs(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             leaves = leaves.unionByName(each.select(F.xxhash64("path", "lo", "hi").alias("bucket"), "rep", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("part") == F.col("lo"), 1).otherwise(2).alias("side"), F.lit(-1).alias("place")))
             break
         rows = large.select("path", "rep").join(sketches, "rep").select("path", "rep", "sketch").mapInArrow(_children(None, s), schema).distinct()
-    searched = leaves.join(masks, "rep", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).join(full, "rep")
+    # the sets themselves are read from the texts again and go to their buckets only: as a table they would outweigh all else on disk
+    full = gram_sets(docs, s).withColumnRenamed("doc_id", "rep")
+    searched = _once(leaves, places).join(masks, "rep", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).join(least.select("rep", "sig", "sketch"), "rep").join(full, "rep")
+    searched = searched.where(F.col("sig").bitwiseXOR(F.col("own")) == 0)  # an id can have several texts; as an equation it would become a join key, and take a shuffle more
     found = searched.select("bucket", "rep", "side", "mask", "place", "sketch", "grams").repartition("bucket").sortWithinPartitions("bucket", "side", "rep").mapInArrow(_search(places, s), "doc_a long, doc_b long, jaccard double")
     return found.distinct().unionByName(copies)
 
