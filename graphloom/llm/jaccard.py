@@ -3,11 +3,12 @@
 1. Each text becomes the set of hashes of its word n-grams (lower case) and a sketch of `width` minhashes, in which two sets
    agree at a place with the probability of their similarity. Documents with equal sets are one set from here on.
 2. A run samples each place of the sketch with probability 1 / (threshold * width) and sends a set to one bucket for each sampled
-   place, named by the value there. A bucket of more than `small` sets is split again by places sampled anew for it; a smaller one
-   is searched by brute force: estimates from sketches, then exact similarities from the sets. Buckets that after `depth` splits
-   are still large hold sets that are nearly all alike; they are searched block against block, so that no task takes more than
-   two blocks.
-3. Runs repeat until a pair at the threshold has met with probability `recall`.
+   place, named by the value there. A bucket of up to `small` sets is searched by brute force: estimates from sketches, then exact
+   similarities from the sets. A larger one is split by `splits` places drawn for it, none of them used above it, if that at least
+   halves the pairs to compare and it lies less than `depth` - 1 splits deep; otherwise it is searched block against block, so that
+   no task takes more than two blocks and every pair in it is compared.
+3. Runs repeat, and a bucket is split by as many places, until a pair at the threshold has met with probability `recall` in a
+   bucket that is searched, even if all buckets above that one were split.
 
 A pair that meets in several buckets is searched in the first. Nothing is capped: a hot n-gram only makes its bucket split.
 
@@ -54,6 +55,28 @@ class Settings:
         return out
 
 
+    def splits(self) -> list[np.ndarray]:
+        """For each level of splits the places that its buckets draw from, apart from the root's and the other levels', so that a
+        pair's chances at one level don't hang on those at another."""
+        top = self.places()
+        rest = np.setdiff1d(np.arange(self.width), top)
+        levels = max(self.depth - 1, 0)
+        while levels and len(rest) // levels < self.drawn(levels):
+            levels -= 1
+        return [rest[k::levels] for k in range(levels)]
+
+    def drawn(self, levels: int) -> int:
+        """Places that a split bucket draws, so that `levels` splits in a row leave the recall."""
+        top = len(self.places())
+        for k in range(1, self.width):
+            met = 1.0
+            for _ in range(levels):
+                met = 1 - (1 - self.threshold * met) ** k
+            if 1 - (1 - self.threshold * met) ** top >= self.recall:
+                return k
+        return self.width
+
+
 def _draw(path: np.ndarray, s: Settings) -> np.ndarray:
     """Which places a node samples: path has one row a node (or is one node's, repeated for each place)."""
     place = np.arange(s.width, dtype=np.uint64)
@@ -142,26 +165,41 @@ def _matrix(column: pa.Array, s: Settings) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, s.width)
 
 
-def _children(places: list[int] | None, s: Settings):
-    """Emits (path, rep, place) for the sampled places; at the root they are given, below they follow from the path."""
+def _named(path: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mixed(path * np.uint64(0x9E3779B97F4A7C15) + mixed((place.astype(np.uint64) + np.uint64(1) << np.uint64(32)) | value))
+
+
+def _roots(places: list[int], s: Settings):
+    """Emits (path, rep, place) for the places of the root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sketch, rep = _matrix(batch.column("sketch"), s), batch.column("rep").to_numpy()
-            if places is not None:
-                path = np.zeros(len(rep), np.uint64)
-                row, place = np.repeat(np.arange(len(rep)), len(places)), np.tile(places, len(rep))
-            else:
-                path = batch.column("path").to_numpy().view(np.uint64)
-                row, place = np.nonzero(_draw(path[:, None], s))
-            to = mixed(path[row] * np.uint64(0x9E3779B97F4A7C15) + mixed((place.astype(np.uint64) + np.uint64(1) << np.uint64(32)) | sketch[row, place]))
+            row, place = np.repeat(np.arange(len(rep)), len(places)), np.tile(places, len(rep))
+            to = _named(np.zeros(len(row), np.uint64), place, sketch[row, place])
             yield pa.RecordBatch.from_arrays([pa.array(signed(to)), pa.array(rep[row]), pa.array(place.astype(np.int32))], ["path", "rep", "place"])
 
     return run
 
 
+def _children(pool: np.ndarray, drawn: int, s: Settings):
+    """Emits (parent, path, rep) for the places that a bucket draws from the pool; they follow from its path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
+                sketch, rep, path = _matrix(part.column("sketch"), s), part.column("rep").to_numpy(), part.column("path").to_numpy().view(np.uint64)
+                lot = mixed(path[:, None] * np.uint64(0x9E3779B97F4A7C15) + pool.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(s.seed))
+                place = pool[np.argsort(lot, 1, kind="stable")[:, :drawn]].ravel()
+                row = np.repeat(np.arange(len(rep)), drawn)
+                to = _named(path[row], place, sketch[row, place])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(path[row])), pa.array(signed(to)), pa.array(rep[row])], ["parent", "path", "rep"])
+
+    return run
+
+
 def _search(places: list[int], s: Settings):
     """Brute force over buckets; rows come ordered by bucket and side (0: against all, 1 and 2: the one against the other)."""
     lowest = s.threshold - 4 * (s.threshold * (1 - s.threshold) / s.width) ** 0.5
@@ -258,27 +296,38 @@ def pairs(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     places = s.places()
     schema = "path long, rep long, place int"
 
-    leaves, rows, level = None, sketches.mapInArrow(_children(places, s), schema), 0
+    pools = s.splits()
+    drawn = s.drawn(len(pools))
+    position = F.create_map(*[x for k, p in enumerate(places) for x in (F.lit(p), F.lit(k))])
+
+    leaves, masks, rows, level = None, None, sketches.mapInArrow(_roots(places, s), schema), 0
     while True:
         count = rows.groupBy("path").agg(F.count("*").alias("m"))
         rows = cut(rows.join(count.where("m > 1"), "path"))
-        small = rows.where(F.col("m") <= s.small)
-        leaf = small.select(F.col("path").alias("bucket"), "rep", F.lit(0).alias("side"), (F.col("place") if level == 0 else F.lit(-1)).alias("place"))
-        if level == 0:
-            position = F.create_map(*[x for k, p in enumerate(places) for x in (F.lit(p), F.lit(k))])
-            masks = small.withColumn("bit", F.pow(F.lit(2.0), position[F.col("place")]).cast("long")).groupBy("rep").agg(F.bit_or("bit").alias("mask"))
+        small, large = rows.where(F.col("m") <= s.small), rows.where(F.col("m") > s.small)
+        leaf = small.select(F.col("path").alias("bucket"), "rep", F.lit(0).alias("side"), "place")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        large = rows.where(F.col("m") > s.small).drop("m")
-        level += 1
-        if large.isEmpty():
+        done = large.isEmpty()
+        block, below = large, None
+        if not done and level < len(pools):
+            below = cut(large.select("path", "rep").join(sketches, "rep").select("path", "rep", "sketch").mapInArrow(_children(pools[level], drawn, s), "parent long, path long, rep long"))
+            work = below.groupBy("parent", "path").agg(F.count("*").cast("double").alias("c")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
+            split = large.groupBy("path").agg(F.first("m").cast("double").alias("m")).join(work.withColumnRenamed("parent", "path"), "path").where("2 * work <= m * m").select("path")
+            block = cut(large.join(split, "path", "left_anti"))
+            below = below.join(split.withColumnRenamed("path", "parent"), "parent", "left_semi").select("path", "rep", F.lit(-1).alias("place"))
+        if level == 0:
+            # a pair meets for certain in a bucket of the root that is searched, whole or in blocks
+            bits = small.unionByName(block).withColumn("bit", F.pow(F.lit(2.0), position[F.col("place")]).cast("long"))
+            masks = bits.groupBy("rep").agg(F.bit_or("bit").alias("mask"))
+        if done:
             break
-        if level >= s.depth:
-            # blocks of a large bucket, each against itself and against every other
-            block = large.join(count, "path").withColumn("parts", F.ceil(F.col("m") / s.small).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep", "path"), F.col("parts")).cast("int"))
-            each = block.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with"))
-            leaves = leaves.unionByName(each.select(F.xxhash64("path", "lo", "hi").alias("bucket"), "rep", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("part") == F.col("lo"), 1).otherwise(2).alias("side"), F.lit(-1).alias("place")))
+        # blocks of a large bucket, each against itself and against every other
+        parts = block.withColumn("parts", F.ceil(F.col("m") / s.small).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep", "path"), F.col("parts")).cast("int"))
+        each = parts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with"))
+        leaves = leaves.unionByName(each.select(F.xxhash64("path", "lo", "hi").alias("bucket"), "rep", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("part") == F.col("lo"), 1).otherwise(2).alias("side"), "place"))
+        if below is None or below.isEmpty():
             break
-        rows = large.select("path", "rep").join(sketches, "rep").select("path", "rep", "sketch").mapInArrow(_children(None, s), schema).distinct()
+        rows, level = below, level + 1
     # the sets themselves are read from the texts again and go to their buckets only: as a table they would outweigh all else on disk
     full = gram_sets(docs, s).withColumnRenamed("doc_id", "rep")
     searched = _once(leaves, places).join(masks, "rep", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).join(least.select("rep", "sig", "sketch"), "rep").join(full, "rep")

@@ -1,6 +1,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard
 
@@ -61,6 +62,40 @@ def test_large_buckets_are_split_and_nothing_is_capped(spark, s):
     assert len(found) >= 0.9 * len(want)
 
 
+def cored(n, core=40):
+    """n different texts with a common core: trigrams of the core are shared by all, those of the tails by none."""
+    return [(k, " ".join([f"c{j}" for j in range(core)] + [f"t{k}-{j}" for j in range(14 + k % 5)])) for k in range(n)]
+
+
+def test_sets_near_the_threshold_in_a_large_group_are_found(spark):
+    n = 1800
+    found = jaccard.pairs(table(spark, cored(n)))
+    got = found.agg(F.count("*").alias("n"), F.count_distinct("doc_a", "doc_b").alias("d"), F.min("jaccard").alias("lo"), F.max("jaccard").alias("hi")).head()
+    assert 38 / (38 + 36) == pytest.approx(got.lo) and got.hi == pytest.approx(38 / (38 + 28))
+    assert got.n == got.d >= 0.98 * n * (n - 1) / 2
+
+
+def test_split_buckets_keep_the_recall(spark):
+    """Unlike groups with a common gram share buckets, so that these are split and not searched in blocks."""
+    groups, size, s = 12, 24, jaccard.Settings(small=30)
+    docs = [(size * g + k, " ".join([f"h{j}" for j in range(9)] + [f"g{g}-{j}" for j in range(30)] + [f"t{g}-{k}-{j}" for j in range(11 + k % 4)])) for g in range(groups) for k in range(size)]
+    want = brute(docs, 0.5)
+    got = rows(jaccard.pairs(table(spark, docs), s))
+    assert len({g[:2] for g in got}) == len(got) and all(want[a, b] == pytest.approx(x) for a, b, x in got)
+    assert len(got) >= 0.98 * len(want) > 0
+
+
+@pytest.mark.parametrize("s", [jaccard.Settings(), jaccard.Settings(depth=2), jaccard.Settings(threshold=0.7), jaccard.Settings(width=16)])
+def test_splits_leave_the_recall(s):
+    pools = s.splits()
+    used = [*s.places(), *(p for pool in pools for p in pool.tolist())]
+    assert len(set(used)) == len(used) and all(len(p) >= s.drawn(len(pools)) for p in pools)
+    met = 1.0
+    for _ in pools:
+        met = 1 - (1 - s.threshold * met) ** s.drawn(len(pools))
+    assert 1 - (1 - s.threshold * met) ** len(s.places()) >= s.recall
+
+
 def test_copies_cost_a_row_each(spark):
     got = rows(jaccard.pairs(table(spark, [(k, "one and the same text in every row") for k in range(500)])))
     assert sorted(got) == [(0, k, 1.0) for k in range(1, 500)]
