@@ -5,6 +5,9 @@ a task runs the scaled forward and backward recursions over its texts, all seque
 expected counts of its words (one row for each distinct word of the task, a number for each state) and of the transitions. The
 rows are added up by word and written to the shared folder, sharded by the words' hashes; the next pass reads its emission
 probabilities from there. Every word of the corpus is counted; one seen fewer than `least` times is read as the unknown word.
+Training starts from states that differ clearly (emissions by a factor of up to e^spread, each state followed by itself with
+probability `stay`), as EM hardly moves from a start near uniform, and goes on until a round gains less than `tolerance` nats a
+token.
 
 The emission table grows with the vocabulary, so its size is measured each round: up to `held_bytes` a task keeps it whole,
 beyond that it fetches one shard at a time and keeps only the rows of the words at hand.
@@ -38,7 +41,10 @@ WORD, MOVE, FIRST, TOTAL = range(4)
 @dataclass(frozen=True)
 class Settings:
     states: int = 6
-    rounds: int = 3
+    rounds: int | None = None  # so many rounds; None: as many as it takes
+    tolerance: float = 0.005  # nats a token that a round gains, below which training ends
+    spread: float = 2.0
+    stay: float = 0.98
     least: int = 2  # times that a word of the vocabulary is seen
     smoothing: float = 0.01
     shards: int = 32
@@ -62,8 +68,8 @@ class Model:
 
 def initial(s: Settings) -> Model:
     rng = np.random.default_rng(s.seed)
-    start, move = rng.uniform(1, 2, s.states), rng.uniform(1, 2, (s.states, s.states)) + 0.5 * np.eye(s.states)
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True))
+    start, move = rng.uniform(1, 2, s.states), rng.uniform(1, 2, (s.states, s.states))
+    return Model(start / start.sum(), s.stay * np.eye(s.states) + (1 - s.stay) * move / move.sum(1, keepdims=True))
 
 
 _held: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -99,7 +105,7 @@ class Emissions:
         k = self.s.states
         if self.model.folder is None:
             noise = mixed(words[:, None] + np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
-            return 1e-4 * (1 + noise / 2.0**53), np.ones(len(words), bool)
+            return 1e-4 * np.exp(self.s.spread * (noise / 2.0**53 - 1)), np.ones(len(words), bool)
         counts, known = np.tile(self.model.unknown, (len(words), 1)), np.zeros(len(words), bool)
         bits = (self.s.shards - 1).bit_length()
         owner = (words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
@@ -220,12 +226,12 @@ def expected_counts(docs: DataFrame, model: Model, s: Settings = Settings(), mos
 
 
 def trained(docs: DataFrame, s: Settings = Settings()) -> tuple[Model, list[float]]:
-    """The model after all rounds, and the log likelihood of the corpus under the model before each round."""
+    """The trained model, and the log likelihood of the corpus under the model before each round."""
     if s.states < 2 or s.shards & (s.shards - 1):
         raise ValueError("at least two states, and a power of two of shards")
     model, curve = initial(s), []
     cs = [f"c{k}" for k in range(s.states)]
-    for _ in range(s.rounds):
+    while not _ended(curve, model, s):
         parts = expected_counts(docs, model, s).repartition(s.shards, "shard")
         sums = parts.groupBy("shard", "kind", "h").agg(*(F.sum(c).alias(c) for c in cs)).withColumn("n", sum((F.col(c) for c in cs), F.lit(0.0)))
         table, folder = written(sums, "hmm", ["shard"])
@@ -241,9 +247,18 @@ def trained(docs: DataFrame, s: Settings = Settings()) -> tuple[Model, list[floa
         total = rest.get((TOTAL, 0), empty)
         model = Model(first / first.sum(), move / move.sum(1, keepdims=True), folder, np.array([t[f"t{c}"] for c in cs]), np.array([t[f"u{c}"] for c in cs]), int(t["v"]), float(total[0]), int(total[1]))
         curve.append(model.log_likelihood)
+        del parts, sums, table, words
+        docs.sparkSession.sparkContext._jvm.System.gc()  # the shuffle files of a round go when the driver has collected its plan
     return model, curve
 
 
+def _ended(curve: list[float], model: Model, s: Settings) -> bool:
+    """The first gain is that over the emissions of the start, which aren't probabilities, and says nothing."""
+    if s.rounds is not None:
+        return len(curve) >= s.rounds
+    return bool(curve) and model.tokens == 0 or len(curve) > 2 and curve[-1] - curve[-2] < s.tolerance * model.tokens
+
+
 def scores(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, perplexity) of every document."""
     emissions, lot = Emissions(model, s), (4 if model.words * (8 + 4 * s.states) <= s.held_bytes else 32) << 20

@@ -66,6 +66,21 @@ def test_training_raises_the_likelihood(spark, sf_dir):
     assert curve[1] > curve[0] and curve[3] > curve[1]
 
 
+def test_training_goes_on_until_it_gains_little_and_beats_the_unigram_model(spark):
+    docs, s = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), hmm.Settings()
+    model, curve = hmm.trained(docs, s)
+    gains = [(b - a) / model.tokens for a, b in zip(curve[1:], curve[2:])]
+    assert gains[-1] < s.tolerance <= min(gains[:-1])
+    q = hmm.Sequences(docs.select("text").toArrow()["text"].combine_chunks())
+    n = np.bincount(q.word).astype(float)
+    rare = n < s.least
+    n[rare] = n[rare].sum()
+    unigram = np.log((n + s.smoothing) / (len(q.word) + s.smoothing * ((~rare).sum() + 1)))[q.word].mean()
+    got = hmm.scores(docs, model, s).agg(F.sum("log_likelihood"), F.sum("n_tokens")).head()
+    print("rounds", len(curve), "unigram", -unigram, "model", -got[0] / got[1])
+    assert got[1] == len(q.word) and got[0] / got[1] > unigram + 0.5
+
+
 def test_odd_rows(spark):
     got = sorted(rows(hmm.corpus_scores(table(spark, ODD), hmm.Settings(rounds=2))), key=lambda r: (r[0] is None, r[0] or 0))
     assert len(got) == len(ODD)
