@@ -1,10 +1,10 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are folded (lower case, every run of bytes that are neither letters nor digits becomes one space). A benchmark item is
-cut into overlapping windows; a window of length m with at most e = floor(rate * m) edits shares at least
+cut into overlapping windows, one every half window, so that a verbatim run of 1.5 windows holds a whole one; a window of length m with at most e = floor(rate * m) edits shares at least
 T = m + 1 - q * (e + 1) q-grams with its copy, and all of them lie within e diagonals of each other. So the shared q-grams
 are counted in overlapping diagonal bands, a band with T or more is a region to look at, and a banded alignment of the window
-against the region decides.
+against the region decides. Windows of an item that follow each other in a text make one match.
 
 Each document is read once, in its own task, with no shuffle. The benchmark is the small side: its text is measured first,
 and is taken in slices of at most `slice_bytes`, one pass over the documents for each, however large it is.
@@ -39,7 +39,7 @@ for _c in range(65, 91):
 class Settings:
     q: int = 10
     rate: float = 0.08
-    window: int = 160
+    window: int = 63
     slice_bytes: int = 8 << 20
 
 
@@ -81,6 +81,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]], s: Settings):
         self.q, self.ids, self.text, self.edits, self.need = s.q, [], [], [], []
+        self.at, self.of, self.whole = [], [], {}  # where a window begins in its item, and which item that is
         data, offsets = flat(pa.array([t.lower() if t else t for _, t in items], pa.large_string()))
         data, offsets = folded(data, offsets)
         keys, owner, place = [], [], []
@@ -88,6 +89,7 @@ class Index:
             whole = data[offsets[k] : offsets[k + 1] - 1].tobytes().strip()
             if len(whole) < s.q:
                 continue
+            self.whole[k] = np.frombuffer(whole, np.uint8)
             last = max(0, len(whole) - s.window)
             for at in sorted({*range(0, last + 1, max(1, s.window // 2)), last}):
                 part = np.frombuffer(whole[at : at + s.window], np.uint8)
@@ -100,6 +102,8 @@ class Index:
                 place.append(np.arange(len(g)))
                 self.ids.append(item)
                 self.text.append(part)
+                self.at.append(at)
+                self.of.append(k)
                 self.edits.append(e)
                 self.need.append(m + 1 - s.q * (e + 1))
         self.empty = not self.ids
@@ -168,6 +172,34 @@ class Index:
         return [(r, w, s, e, k) for (r, w, s), (e, k) in out.items()]
 
 
+    def joined(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int | None, int, int, int, int]]:
+        """(row, item_id, start, end, edits, length) of the passages found: windows of an item that overlap in it and in the text."""
+        by: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        for r, w, a, z, k in self.search(data, offsets):
+            by.setdefault((r, self.of[w]), []).append((a, z, w, k))
+        out = []
+        for (r, item), found in by.items():
+            runs: list[list[tuple[int, int, int, int]]] = []
+            for x in sorted(found):
+                for run in runs:
+                    y = run[-1]
+                    ahead = self.at[x[2]] - self.at[y[2]]
+                    if 0 < ahead <= len(self.text[y[2]]) and abs(x[0] - y[0] - ahead) <= x[3] + y[3]:
+                        run.append(x)
+                        break
+                else:
+                    runs.append([x])
+            for run in runs:
+                (a, _, first, _), (_, z, last, _) = run[0], run[-1]
+                part = self.whole[item][self.at[first] : self.at[last] + len(self.text[last])]
+                whole = aligned(part, data[offsets[r] + a : offsets[r] + z], sum(x[3] for x in run)) if len(run) > 1 else None
+                if whole:
+                    out.append((r, self.ids[first], a + whole[0], a + whole[1], whole[2], len(part)))
+                else:
+                    out += [(r, self.ids[w], b, y, k, len(self.text[w])) for b, y, w, k in run]
+        return out
+
+
 def aligned(part: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """The best place of `part` in `region` with at most `most` edits (start, end, edits); both ends of the region are free."""
     exact = region.tobytes().find(part.tobytes())
@@ -208,14 +240,14 @@ def _slices(benchmark: DataFrame, s: Settings) -> Iterator[list[tuple[int, str |
         yield sorted((tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()), key=lambda r: (r[0] is None, r[0], r[1]))
 
 
-def _found(index: Index, batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _found(index: Index, batch: pa.RecordBatch, text: str, search) -> Iterator[tuple[pa.RecordBatch, list]]:
     for part in chunks(batch, text, 1 << 18):
         data, offsets = flat(pc.utf8_lower(part.column(text).cast(pa.large_string())))
-        yield part, index.search(*folded(data, offsets)) if not index.empty else []
+        yield part, search(*folded(data, offsets)) if not index.empty else []
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, item_id, start, end, edits, similarity): the best match of each item in each document."""
+    """(doc_id, item_id, start, end, edits, similarity): the longest match of each item in each document."""
     schema = "doc_id long, item_id long, start long, end long, edits int, similarity double"
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
@@ -225,14 +257,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
         def scan(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for part, found in _found(index, batch, "text"):
+                for part, found in _found(index, batch, "text", index.joined):
                     ids, best = part.column("doc_id").to_pylist(), {}
-                    for r, w, a, z, k in found:
-                        similarity = 1 - k / len(index.text[w])
-                        key = (r, index.ids[w])
-                        if key not in best or (-similarity, a) < (-best[key][3], best[key][0]):
-                            best[key] = (a, z, k, similarity)
-                    rows += [(ids[r], item, *b) for (r, item), b in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0))]
+                    for r, item, a, z, k, n in found:
+                        rank = (k - n, k, a)  # the most characters that agree
+                        if (r, item) not in best or rank < best[r, item][0]:
+                            best[r, item] = rank, (a, z, k, 1 - k / n)
+                    rows += [(ids[r], item, *b) for (r, item), (_, b) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0))]
                 columns = list(zip(*rows)) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.int32(), pa.float64()])], ["doc_id", "item_id", "start", "end", "edits", "similarity"])
 
@@ -248,7 +279,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
 
         def scan(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, found in _found(index, batch, "text"):
+                for part, found in _found(index, batch, "text", index.search):
                     keep = np.ones(part.num_rows, bool)
                     keep[[r for r, *_ in found]] = False
                     yield part.filter(pa.array(keep))

@@ -93,6 +93,23 @@ def test_best_place_is_told(spark):
     assert {(r.start, r.end, r.edits, r.similarity) for r in got} == {(12, 12 + len(item), 0, 1.0)}
 
 
+def test_passages_cut_at_both_ends_are_found(spark):
+    """Any verbatim run of a window and a half, wherever it begins and ends; it is reported as far as its windows reach."""
+    rng = random.Random(9)
+    items = [(k, prose(rng, 32)) for k in range(40)]
+    least = 96
+    docs, size = [], {}
+    for k, x in items:
+        n = rng.randrange(least, 160)
+        a = rng.randrange(1, len(x) - n)
+        docs.append((k, f"{prose(rng, 12)} | {x[a : a + n]} | {prose(rng, 12)}"))
+        size[k] = n
+    got = {(r.doc_id, r.item_id): r for r in dc.matches(table(spark, docs), bench(spark, items)).collect()}
+    assert {(k, k) for k in size} <= set(got)
+    assert all(got[k, k].edits <= 8 and got[k, k].end - got[k, k].start > size[k] - 2 * (S.window // 2) - 4 for k in size)
+    assert dc.clean(table(spark, docs), bench(spark, items)).count() == 0
+
+
 def test_odd_rows(spark):
     items = bench(spark, [(1, prose(random.Random(1), 20)), (None, "same text twice over here")])
     got = rows(dc.matches(table(spark, ODD), items))
