@@ -3,14 +3,17 @@
 1. A character language model (4-grams over 32 folded classes, interpolated) is counted over all documents: each task counts
    its texts into one array, the sums are at most 2^20 numbers however large the corpus.
 2. A token whose spelling has more than one reading (a digit or sign that stands for a letter, a letter three times or more, a separator
-   inside) spans a lattice of readings, each with a channel cost; so does a run of single characters set apart by spaces.
-   Viterbi search under the character model picks the reading. Any other token has one reading and needs no search.
+   inside) spans a lattice of readings, each with a channel cost; so does a run of single characters set apart by spaces. Digits
+   and signs may always stand for themselves, a bracket, bar or exclamation mark at an end of a token also for none of it, so that
+   the model tells numbers and punctuation from words. Viterbi search picks the reading: the state is the last three classes,
+   nothing is pruned. Any other token has one reading and needs no search.
 3. A boosted model over words and word stems, fitted on at most `sample` labelled documents of each class, adds up the
    weights of what a document's distinct restored words have of them.
 
 Defined cases: a null or empty text scores the model's bias and is not toxic; with no toxic label, or no clean one, nothing is
 toxic (score 0); labels with a null id or class are ignored, and an id labelled both ways is taken as toxic; a document is judged
-row by row, so repeated rows get the same result; other columns are ignored by `scores` and kept by `clean`; a very long text or
+row by row, so repeated rows get the same result; of readings with equal scores the one met first stays, and at the end of a token
+the last in the order of characters; of equal gains the first feature is taken; other columns are ignored by `scores` and kept by `clean`; a very long text or
 token is read whole. Empty tables give empty results.
 """
 
@@ -39,6 +42,8 @@ for _i in range(0xA0, 0x250):
         _ACCENT[_i] = _d[0]
 _ACCENT |= {0xDF: "s", 0xF8: "o", 0xE6: "a"}
 DIGIT, OTHER = 28, 29
+_EDGE = "".join(sorted({*".,;:?\"'()[]{}<>-_*~#=/\\`^|%&"} - LEET.keys()))  # signs that stand for no letter, at the ends of a token
+_BOUND = "(|!"  # signs that stand for a letter or, at the ends of a token, for none of it
 _CODE = {chr(97 + i): i + 1 for i in range(26)} | {str(i): DIGIT for i in range(10)} | dict.fromkeys(GAP, 0)
 
 # byte tables of the same folding: plain bytes, and the second byte after 0xC3 (Latin-1 letters)
@@ -118,51 +123,61 @@ class Restorer:
     """Restores tokens and runs of single characters under a character model."""
 
     def __init__(self, model: np.ndarray, s: Settings):
-        self.model, self.s, self.list = model, s, None
+        self.model, self.s, self.list, self.arcs = model, s, None, {}
 
     def __getstate__(self):
         return self.model, self.s
 
     def __setstate__(self, state):
         self.model, self.s = state
-        self.list = None
+        self.list, self.arcs = None, {}
+
+    def _arcs(self, c: str, run: int, spaced: bool, edge: bool) -> list[tuple[str, float, list[int], float]]:
+        """What a run of one character may stand for: text, cost, its classes (of a run of one class the first four at most), and how
+        often the last of these is met again."""
+        s = self.s
+        if c in GAP:
+            arcs = [(" ", s.keep), ("", 0.0)] if spaced else [(" ", 0.0), ("", s.drop)]
+        elif "a" <= c <= "z":
+            arcs = [(c * run, 0.0)] if run < 3 else [(c, s.more), (c * 2, s.more)]
+        else:
+            arcs = [(c * run, 0.0), *([(" ", 0.0)] if edge and c in _BOUND else [])]
+            for letter in LEET.get(c, ""):
+                arcs += [(letter, s.swap), *([(letter * 2, s.swap)] if run > 1 else [])]
+        return [(text, cost, [_CODE.get(e, OTHER) for e in text[:4]], max(0, len(text) - 4)) for text, cost in arcs]
 
     def decode(self, text: str, spaced: bool = False) -> str:
         """The best reading of one lattice; `text` is folded."""
         if self.list is None:
-            self.list = self.model.tolist()
-        logp, s, n, i = self.list, self.s, len(text), 0
-        beam: dict[int, tuple[float, str]] = {0: (0.0, "")}  # by the last three classes
+            self.list, self.arcs = self.model.tolist(), {}
+        logp, n, i = self.list, len(text), 0
+        inner, last = n - len(text.lstrip(_BOUND)), len(text.rstrip(_BOUND))
+        best: dict[int, tuple[float, str]] = {0: (0.0, "")}  # by the last three classes
         while i < n:
             c, j = text[i], i + 1
             while j < n and text[j] == c:
                 j += 1
-            run = j - i
-            if c in GAP:
-                arcs = [(" ", s.keep), ("", 0.0)] if spaced else [(" ", 0.0), ("", s.drop)]
-            elif "a" <= c <= "z":
-                arcs = [(c * run, 0.0)] if run < 3 else [(c, s.more), (c * 2, s.more)]
-            else:
-                arcs = [(c * run, 0.0)]
-                for letter in LEET.get(c, ""):
-                    arcs += [(letter, s.swap), *([(letter * 2, s.swap)] if run > 1 else [])]
+            key = (c, min(j - i, 4), spaced, i < inner or i >= last)
+            arcs = self.arcs.get(key)
+            if arcs is None or j - i > 4:
+                arcs = self._arcs(c, j - i, *key[2:])
+                if j - i <= 4:
+                    self.arcs[key] = arcs
             after: dict[int, tuple[float, str]] = {}
-            for state, (score, out) in beam.items():
-                for emit, cost in arcs:
+            for state, (score, out) in best.items():
+                for emit, cost, codes, more in arcs:
                     at, total = state, score + cost
-                    for e in emit[:8]:
-                        code = _CODE.get(e, OTHER)
+                    for code in codes:
                         if code or at & 31:
                             at = at << 5 | code
                             total += logp[at]
                             at &= 0x7FFF
-                    total += (len(emit) - 8) * -3.0 if len(emit) > 8 else 0.0
+                    if more:  # a run of one class: from the fourth on each costs the same
+                        total += more * logp[at << 5 | codes[-1]]
                     if at not in after or total > after[at][0]:
                         after[at] = (total, out + emit)
-            if len(after) > 64:
-                after = dict(sorted(after.items(), key=lambda x: -x[1][0])[:64])
-            beam, i = after, j
-        return max(((v + (logp[k << 5] if k & 31 else 0.0), t) for k, (v, t) in beam.items()))[1]
+            best, i = after, j
+        return max(((v + (logp[k << 5] if k & 31 else 0.0), t) for k, (v, t) in best.items()))[1]
 
     @staticmethod
     def fold(token: str) -> str:
@@ -172,17 +187,16 @@ class Restorer:
     def token(self, raw: str) -> tuple[str, bool]:
         """The words that a token stands for, and whether restoring changed it."""
         t = self.fold(raw)
-        plain = t.strip(".,;:?\"'()[]{}<>-_*~#=/\\`^|%&")
-        if not plain.isalpha() and plain.rstrip("!").isalpha():
-            plain = plain.rstrip("!")
+        plain = t.strip(_EDGE)
         if plain.isalpha() and plain.isascii():
             if not _MORE.search(plain):
                 return plain, False
-        elif not _LETTER.search(plain):
+        elif not _SOME.search(plain):
             return plain, False
-        best = self.decode(plain)
-        if best.replace(" ", "") == "".join(c for c in plain if c not in GAP) and "" not in (best, plain):
-            joined = best.replace(" ", "") == best and any(c in GAP for c in plain)
+        best = self.decode(plain).strip()
+        core = plain.strip(_BOUND)
+        if best in (plain, core) or best and best.replace(" ", "") == "".join(c for c in core if c not in GAP):
+            joined = best not in (plain, core) and " " not in best
             return best, joined
         return best, True
 
@@ -191,7 +205,7 @@ class Restorer:
 
 
 _MORE = re.compile(r"(.)\1\1")
-_LETTER = re.compile("[a-z]")
+_SOME = re.compile("[a-z" + re.escape("".join(LEET)) + "]")
 _RUN = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 

@@ -22,14 +22,16 @@ def brute(text, model, s, spaced=False):
     """The best reading by trying them all."""
     parts, best = [list(g) for _, g in itertools.groupby(text)], None
     options = []
-    for p in parts:
+    bounds = [set(p) <= set(tx._BOUND) for p in parts]
+    for k, p in enumerate(parts):
         c, run = p[0], len(p)
         if c in tx.GAP:
             options.append([(" ", s.keep), ("", 0.0)] if spaced else [(" ", 0.0), ("", s.drop)])
         elif "a" <= c <= "z":
             options.append([(c * run, 0.0)] if run < 3 else [(c, s.more), (c * 2, s.more)])
         else:
-            options.append([(c * run, 0.0)] + [(x * n, s.swap) for x in tx.LEET.get(c, "") for n in ([1, 2] if run > 1 else [1])])
+            edge = [(" ", 0.0)] if all(bounds[: k + 1]) or all(bounds[k:]) else []
+            options.append([(c * run, 0.0)] + edge + [(x * n, s.swap) for x in tx.LEET.get(c, "") for n in ([1, 2] if run > 1 else [1])])
     for arcs in itertools.product(*options):
         at, total = 0, 0.0
         for emit, cost in arcs:
@@ -46,12 +48,37 @@ def brute(text, model, s, spaced=False):
     return best[1]
 
 
-@pytest.mark.parametrize("text, spaced", [("st00pid", False), ("1d10t", False), ("i.d.i.o.t", False), ("stuuuupid", False), ("$tup1d", False), ("s t u p i d", True), ("g4rden", False)])
+@pytest.mark.parametrize("text, spaced", [("st00pid", False), ("1d10t", False), ("i.d.i.o.t", False), ("stuuuupid", False), ("$tup1d", False), ("s t u p i d", True), ("g4rden", False), ("(stup1d!", False), ("!d!ot!!", False), ("57|_|p1d", False), ("!|(", False), ("77777777777d", False), ("1d!07|", False)])
 def test_viterbi_finds_the_best_reading(small, text, spaced):
     s, model = tx.Settings(), tx.character_model(small[0])
     assert tx.Restorer(model, s).decode(text, spaced) == brute(text, model.tolist(), s, spaced)
 
 
+@pytest.fixture(scope="module")
+def reader(spark):
+    """A model of words and of numbers."""
+    docs = table(spark, [(k, f"that unit sits in an ass and a class of cats, {CLEAN} since {1990 + k} for {k * 37} men") for k in range(60)])
+    return tx.Restorer(tx.character_model(docs), tx.Settings())
+
+
+@pytest.mark.parametrize("raw, words", [("4$$", "ass"), ("@$$", "ass"), ("$|7", "sit"), ("(@7$", "cats"), ("1995", "1995"), ("(1995)", "1995"), ("(the", "the"), ("tea!!", "tea"), ("!!!", ""), ("--", ""), ("370,", "370"), ("$" * 5000, "$" * 5000), ("(@75", "cats"), ("|/|", "|/|")])
+def test_tokens_without_letters_span_a_lattice(reader, raw, words):
+    best, changed = reader.token(raw)
+    if raw == "|/|":
+        assert not any(c.isalpha() for c in best) or changed
+    elif raw[:9] == "$" * 9:
+        assert best in ("$" * 5000, "s", "ss")
+    else:
+        assert best.strip("!|(") == words and changed == (words.isalpha() and words not in raw)
+
+
+def test_long_runs_are_scored_whole(reader):
+    """A run of one character costs what its characters cost one by one."""
+    model = reader.model.tolist()
+    for text in ("5" * 9 + "a", "a" + "!" * 7 + "b", "$" * 6):
+        assert reader.decode(text) == brute(text, model, reader.s)
+
+
 def test_character_counts_are_whole(small):
     got = {r.gram: r.n for r in tx.character_counts(small[0]).collect()}
     the = 20 << 15 | 8 << 10 | 5 << 5  # "the" and a gap
