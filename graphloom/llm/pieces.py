@@ -5,23 +5,28 @@ not met, sorts them, so that they lie in the order of a depth-first walk over th
 path from the root: a word computes only the characters beyond the prefix that it shares with the one before.
 
 Forward table, by the kind of model:
-* unigram: at each position the best score of a segmentation that ends there, and its last piece (Viterbi);
+* unigram: at each position the best score of a segmentation that ends there, and its last piece (Viterbi); the longer last piece
+  among equals; a character that is no piece may stand as unknown, at the library's penalty;
 * BPE: at each position the last piece of the prefix's encoding. A piece t fits after the encoding of the text before it exactly if
   the pair (last piece there, t) encodes to itself, so the step is the same walk over the pieces that end here, with this test in
   place of the maximum. It gives the library's merges exactly, which a maximum over a BPE model's scores would not.
 Characters without a piece fall back to their bytes.
 
-Nothing is shuffled; each task reads its texts once. The model's file is a parameter.
+Nothing is shuffled; each task reads its texts once. The model's file is a parameter; its kind is read from it. A BPE vocabulary can
+be read as a unigram one, with scores by rank, to segment by Viterbi what has no unigram model.
 
 Defined cases: a null text gives null ids, an empty one none; a null doc_id stays null; repeated rows each get their ids; other
 columns are ignored; empty tables give empty results; texts and words of any length are encoded whole; the
-mark itself in a text reads as a space, as in the library, so that such a text doesn't come back as it was.
+mark itself in a text reads as a space, as in the library, so that such a text doesn't come back as it was. A model of another
+kind, with user-defined symbols, or with pieces that go beyond a word is an error.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -36,17 +41,63 @@ from .arrays import chunks, flat, lists, ranges
 
 MODEL = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
+UNIGRAM, BPE = 1, 2
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 _TEXT = re.compile("[ ▁]+[^ ▁\n]*|[^ ▁\n]+|\n")
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer message."""
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    at = 0
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            n = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, raw[at : at + n]
+            at += n
+
+
+def read_model(raw: bytes) -> tuple[list[tuple[str, float, int]], int]:
+    """Pieces (text, score, type) of a model file, and its kind."""
+    pieces, kind = [], UNIGRAM
+    for number, value in _fields(raw):
+        if number == 1:
+            f = dict(_fields(value))
+            pieces.append((f[1].decode(), struct.unpack("<f", f.get(2, b"\0\0\0\0"))[0], f.get(3, NORMAL)))
+        elif number == 2:
+            kind = dict(_fields(value)).get(3, UNIGRAM)
+    return pieces, kind
+
+
+def rank_score(k: int) -> float:
+    """Log probability of the k-th piece by Zipf's law, in 64ths, so that sums are exact in the library's floats too."""
+    return -round(math.log(k + 1) * 64) / 64
+
+
 class Vocabulary:
     """Pieces of a model: strings to ids and scores, byte pieces, and the bytes that each id stands for."""
 
-    def __init__(self, pieces: list[tuple[str, float]], bpe: bool, byte_ids: list[int] | None = None, special: frozenset[int] = frozenset(), unknown: int = 0):
+    def __init__(self, pieces: list[tuple[str, float]], bpe: bool, byte_ids: list[int] | None = None, special: frozenset[int] = frozenset(), unknown: int = 0, eod: int = -1):
+        self.size, self.eod = len(pieces), eod
         self.bpe, self.byte_ids, self.unknown = bpe, byte_ids, unknown
         aside = special | frozenset(byte_ids or ())
         self.ids = {p: k for k, (p, _) in enumerate(pieces) if k not in aside}
         self.score = [x for _, x in pieces]
+        self.unknown_score = min((x for k, (_, x) in enumerate(pieces) if k not in aside), default=0.0) - 10.0
         self.longest = max((len(p) for p in self.ids), default=1)
         shown = [b"" if k in special else p.replace(MARK, " ").encode() for k, (p, _) in enumerate(pieces)]
         for value, k in enumerate(byte_ids or ()):
@@ -64,17 +115,18 @@ class Vocabulary:
             self.found.make_automaton()
 
     @classmethod
-    def load(cls, path: str) -> Vocabulary:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        pieces = [(sp.id_to_piece(k), sp.get_score(k)) for k in range(n)]
-        byte_ids = [k for k in range(n) if sp.is_byte(k)]
-        special = frozenset(k for k in range(n) if sp.is_control(k) or sp.is_unknown(k))
-        # in a BPE model scores are the negated ranks of the merges
-        bpe = all(x == int(x) for k, (_, x) in enumerate(pieces) if k not in special)
-        return cls(pieces, bpe, byte_ids if len(byte_ids) == 256 else None, special, sp.unk_id())
+    def load(cls, path: str, by_rank: bool = False) -> Vocabulary:
+        """`by_rank`: as a unigram vocabulary whose scores follow from the order of the pieces, by Zipf's law."""
+        with open(path, "rb") as f:
+            pieces, kind = read_model(f.read())
+        types = [x for _, _, x in pieces]
+        if kind not in (UNIGRAM, BPE) or USER_DEFINED in types:
+            raise ValueError(f"{path}: neither a BPE nor a unigram model, or one with user-defined symbols")
+        byte_ids = [k for k, x in enumerate(types) if x == BYTE]
+        special = frozenset(k for k, x in enumerate(types) if x in (UNKNOWN, CONTROL, UNUSED))
+        scored = [(p, rank_score(k) if by_rank else x) for k, (p, x, _) in enumerate(pieces)]
+        names = [p for p, _, _ in pieces]
+        return cls(scored, kind == BPE and not by_rank, byte_ids if len(byte_ids) == 256 else None, special, types.index(UNKNOWN), names.index("</s>") if "</s>" in names else -1)
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE: the adjacent pair with the best score is joined, the leftmost of equals, until none is a piece."""
@@ -138,18 +190,21 @@ class Vocabulary:
                 for end, piece in found.iter(word, max(0, i - longest + 1)) if self.ids else ():
                     at_end.setdefault(end + 1, []).append(piece)
                 for end in range(i + 1, size):
-                    for length, k in at_end.get(end, ()):
+                    ends = at_end.get(end, ())
+                    for length, k in ends:
                         value = best[end - length] + score[k]
                         if best[end] is None or value > best[end]:
                             last[end], start[end], best[end] = k, end - length, value
-                    if best[end] is None:
-                        best[end] = best[end - 1] - 1e4
+                    if not ends or ends[-1][0] > 1:  # the character is no piece of its own
+                        value = best[end - 1] + self.unknown_score
+                        if best[end] is None or value > best[end]:
+                            last[end], start[end], best[end] = -1, end - 1, value
             ids, end = [], len(word)
             while end:
                 at = start[end]
                 if last[end] >= 0:
                     ids.append(last[end])
-                else:
+                elif self.byte_ids or not (ids and ids[-1] == self.unknown):  # a run of unknown characters is one
                     ids += reversed(self.fallback(word[at:end]))
                 end = at
             out.append(ids[::-1])
@@ -162,12 +217,17 @@ class Encoder:
 
     most = 800_000
 
-    def __init__(self, path: str = MODEL):
-        self.path, self.vocabulary = path, None
+    def __init__(self, path: str = MODEL, by_rank: bool = False):
+        self.path, self.by_rank, self.vocabulary = path, by_rank, None
         self.reset()
 
     def __reduce__(self):  # the tasks of a Python worker share one
-        return _encoder, (self.path,)
+        return _encoder, (self.path, self.by_rank)
+
+    def ready(self) -> Vocabulary:
+        if self.vocabulary is None:
+            self.vocabulary = Vocabulary.load(self.path, self.by_rank)
+        return self.vocabulary
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
@@ -193,8 +253,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number in each text."""
-        if self.vocabulary is None:
-            self.vocabulary = Vocabulary.load(self.path)
+        self.ready()
         cut = [_TEXT.findall(" " + t) if t else [] for t in texts]
         known = self.at.keys()
         need = set().union(*cut)
@@ -211,8 +270,7 @@ class Encoder:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the texts that flat ids stand for, without the space that encoding puts first, and their offsets."""
-        if self.vocabulary is None:
-            self.vocabulary = Vocabulary.load(self.path)
+        self.ready()
         if not hasattr(self, "shown"):
             parts = self.vocabulary.text_of
             self.width = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -230,8 +288,8 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, by_rank: bool) -> Encoder:
+    return Encoder(path, by_rank)
 
 
 def encoded(docs: DataFrame, encoder: Encoder | None = None) -> DataFrame:
