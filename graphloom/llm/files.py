@@ -41,3 +41,43 @@ class Writing:
             self.system.move(self.temporary, self.path)
         else:
             self.system.delete_file(self.temporary)
+
+
+class Spool:
+    """Bytes in memory up to a bound, in a file of the shared folder beyond it."""
+
+    def __init__(self, uri: str, most: int):
+        self.system, self.path = _system(uri)
+        self.most, self.parts, self.size, self.file = most, [], 0, None
+
+    def write(self, data: bytes) -> None:
+        self.parts.append(data)
+        self.size += len(data)
+        if self.size > self.most:
+            self.file = self.file or self.system.open_output_stream(self.path, compression=None)
+            self._drain(self.file)
+
+    def _drain(self, out) -> None:
+        for part in self.parts:
+            out.write(part)
+        self.parts, self.size = [], 0
+
+    def copy_to(self, out) -> int:
+        """Append all to a stream, and begin anew."""
+        total = self.size
+        if self.file:
+            self._drain(self.file)
+            self.file.close()
+            with self.system.open_input_stream(self.path, compression=None) as f:
+                while data := f.read(1 << 20):
+                    out.write(data)
+            total = self.system.get_file_info(self.path).size
+        self._drain(out)
+        self.clear()
+        return total
+
+    def clear(self) -> None:
+        if self.file:
+            self.file.close()
+            self.system.delete_file(self.path)
+        self.parts, self.size, self.file = [], 0, None
