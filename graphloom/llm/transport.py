@@ -5,25 +5,30 @@ limits of all packets at once. Program association and map tables are joined fro
 of an elementary stream become PES packets, whose payloads are stored one after the other with their sizes, presentation and decode
 times (90 kHz, null where absent) and the numbers of those at which decoding may begin.
 
-`muxed` builds such streams from texts, for tables that have no media of their own. Rows are independent; nothing is shuffled.
+`muxed` builds such streams from texts, for tables that have no media of their own. Rows are independent; nothing is shuffled. Batches
+are cut by bytes, not by rows, so that a task holds about `_LOT` bytes of media, or one longer medium, with its streams.
 
 Defined cases: null or empty media, and media without a sound program table, give one row with null program and pid, in which
 `packets` and `sync_errors` count what is there; a packet that doesn't begin with the sync byte is skipped until three in a row do; a
-packet repeated once with the same counter is a duplicate and counts once; any other jump of a counter is an error, and PES
+packet repeated once with the same counter and payload is a duplicate and counts once, its clock reference may differ; any other jump of a counter is an error, and PES
 packets that it falls in are marked damaged; packets before a stream's first PES start are dropped, and counted; scrambled packets
-give no payload; a null id stays null, repeated rows are parsed each; other columns are ignored.
+give no payload; media of up to 2 GiB are parsed whole (Spark's binary values hold no more); an empty table gives an empty result; of
+entries for the same program and stream the last wins; a null id stays null, repeated rows are parsed each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PACKET = 188
+_LOT = 16 << 20
 SCHEMA = (
     "media_id long, program int, pid int, stream_type int, packets int, continuity_errors int, duplicates int, dropped int, sync_errors int, "
     "pts array<long>, dts array<long>, random_access array<int>, sizes array<int>, damaged array<int>, data binary"
@@ -45,6 +50,7 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
+@lru_cache(4096)  # tables are repeated many times a second
 def crc32(data: bytes) -> int:
     c = 0xFFFFFFFF
     for b in data:
@@ -115,13 +121,22 @@ def mux(video: bytes, audio: bytes, unit: int = 1024, group: int = 12) -> bytes:
     return b"".join(out)
 
 
+def lots(batch: pa.RecordBatch, columns: tuple[str, ...], most: int = _LOT) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `most` bytes in these columns; a longer row is a run of its own."""
+    total = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)).cast(pa.int64()), 0).to_numpy(zero_copy_only=False) for c in columns))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def muxed(rows: DataFrame, video: str, audio: str, key: str) -> DataFrame:
     """(media_id, media): a stream for each row, the bytes of two text columns as its video and audio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in lots(batch, ("v", "a")):
                 media = [mux((v or "").encode(), (a or "").encode()) for v, a in zip(part.column("v").to_pylist(), part.column("a").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("media_id"), pa.array(media, pa.binary())], ["media_id", "media"])
 
@@ -183,8 +198,7 @@ class Packets:
         step = (self.counter[at[1:]] - self.counter[at[:-1]]) & 15
         repeat = np.zeros(len(at), bool)
         for k in np.flatnonzero(step == 0) + 1:
-            if not repeat[k - 1] and (self.rows[at[k], 4:] == self.rows[at[k - 1], 4:]).all():
-                repeat[k] = True
+            repeat[k] = not repeat[k - 1] and self._same(at[k], at[k - 1])
         copies = int(repeat.sum())
         at = at[~repeat]
         step = (self.counter[at[1:]] - self.counter[at[:-1]]) & 15
@@ -192,6 +206,13 @@ class Packets:
         jump[1:] = (step != 1) & ((self.flags[at[1:]] & 0x80) == 0)
         return at, jump, copies
 
+    def _same(self, a: int, b: int) -> bool:
+        """Whether two packets are copies; a copy carries a clock reference of its own."""
+        same = self.rows[a, 3:] == self.rows[b, 3:]
+        if self.flags[a] & self.flags[b] & 0x10:
+            same[3:9] = True
+        return bool(same.all())
+
     def payload(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Payload bytes of some packets one after the other, and how many each has."""
         rows, start = self.rows[at], self.start[at]
@@ -291,8 +312,7 @@ def parsed(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in lots(batch, ("media",)):
                 rows = [{"media_id": k} | r for k, raw in zip(part.column("media_id").to_pylist(), part.column("media").to_pylist()) for r in parse(raw)]
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, _TYPES)], _NAMES)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from graphloom.llm import transport as ts
 
@@ -39,6 +40,35 @@ def test_a_repeated_packet_counts_once():
     assert (got["duplicates"], got["continuity_errors"], got["data"]) == (1, 0, VIDEO)
 
 
+def test_a_copy_may_have_its_own_clock_reference():
+    def packet(clock, payload):
+        return bytes([0x47, 0x01, 0x01, 0x35, 7, 0x10]) + clock + payload * 176
+
+    rows = [packet(b"\0\0\0\0\x7e\0", b"a"), packet(b"\0\0\0\1\x7e\0", b"a"), packet(b"\0\0\0\2\x7e\0", b"b")]
+    p = ts.Packets(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 188))
+    at, jump, copies = p.of(0x101)
+    assert (at.tolist(), jump.tolist(), copies) == ([0, 2], [False, True], 1)
+
+
+def test_tables_written_by_others():
+    """Program tables as a common muxer writes them, then packets put together by hand."""
+    pat = bytes.fromhex("474000100000b00d0001c100000001f0002ab104b2").ljust(188, b"\xff")
+    pmt = bytes.fromhex("475000100002b0170001c10000e100f0001be100f0000fe101f0002f44b99b").ljust(188, b"\xff")
+    times = bytes.fromhex("310007d861" + "110007a981")  # 33-bit times in three parts with marker bits: 126,000 and 120,000
+    video = bytes.fromhex("47410030") + bytes([183 - 25, 0x50]) + bytes.fromhex("00003a980000") + b"\xff" * (183 - 25 - 7) + bytes.fromhex("000001e0000080c00a") + times + b"frame!"
+    audio = bytes.fromhex("47410130") + bytes([183 - 16, 0]) + b"\xff" * (183 - 16 - 1) + bytes.fromhex("000001c0000a808005") + bytes.fromhex("210007d861") + b"ab"
+    assert {len(x) for x in (pat, pmt, video, audio)} == {188}
+    got = streams(pat + pmt + video + audio)
+    assert (got[0x100]["stream_type"], got[0x101]["stream_type"], got[0x100]["program"]) == (0x1B, 0x0F, 1)
+    assert (got[0x100]["data"], got[0x100]["pts"], got[0x100]["dts"], got[0x100]["random_access"]) == (b"frame!", [126_000], [120_000], [0])
+    assert (got[0x101]["data"], got[0x101]["pts"], got[0x101]["dts"], got[0x101]["damaged"]) == (b"ab", [126_000], [None], [])
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"media": [b"x" * 10, None, b"y" * 25, b"", b"z" * 10, b"w"]})
+    assert [part.num_rows for part in ts.lots(batch, ("media",), 20)] == [2, 1, 3]
+
+
 def test_sync_is_found_again():
     raw = cut(ts.mux(VIDEO, AUDIO))
     got = streams(b"junk" + b"".join(raw))
