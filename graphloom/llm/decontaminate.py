@@ -4,13 +4,15 @@ Texts are folded (lower case, every run of bytes that are neither letters nor di
 cut into overlapping windows, one every half window, so that a verbatim run of 1.5 windows holds a whole one; a window of length m with at most e = floor(rate * m) edits shares at least
 T = m + 1 - q * (e + 1) q-grams with its copy, and all of them lie within e diagonals of each other. So the shared q-grams
 are counted in overlapping diagonal bands, a band with T or more is a region to look at, and a banded alignment of the window
-against the region decides. Windows of an item that follow each other in a text make one match.
+against the region decides. Where T would fall below 1, as in items shorter than a window, q is lowered until it doesn't, so that the
+budget holds for every length. Windows of an item that follow each other in a text make one match.
 
 Each document is read once, in its own task, with no shuffle. The benchmark is the small side: its text is measured first,
 and is taken in slices of at most `slice_bytes`, one pass over the documents for each, however large it is.
 
-Defined cases: a null or empty text holds nothing; items whose folded text is shorter than q are not searched for; a null
-doc_id is reported as null; repeated rows and repeated items are each reported; columns besides doc_id and text (item_id and
+Defined cases: a null or empty text holds nothing; items whose folded text is shorter than `q` bytes are not searched for, while one of
+`q` bytes is found wherever it stands, in the middle of a word too; texts of any length are searched whole; of several places of
+an item in a document the one with the most agreeing characters is given, then that with the fewest edits, then the first; a null doc_id is reported as null; repeated rows and repeated items are each reported; columns besides doc_id and text (item_id and
 text) are ignored by `matches` and kept by `clean`; empty tables give no match.
 """
 
@@ -42,6 +44,17 @@ class Settings:
     window: int = 63
     slice_bytes: int = 8 << 20
 
+    def __post_init__(self):
+        if not (2 <= self.q <= 16 and self.q <= self.window <= 2048 and 0 <= self.rate < 0.5):
+            raise ValueError("q from 2 to 16, a window from q to 2048 bytes, a rate below a half")
+
+    def edits(self, m: int) -> int:
+        return int(self.rate * m)
+
+    def q_of(self, m: int) -> int:
+        """The length of the q-grams for windows of m bytes: with all edits of the budget at least one is left."""
+        return min(self.q, m // (self.edits(m) + 1))
+
 
 def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Folded bytes of all rows, each row closed by a zero byte, and the offsets of the rows."""
@@ -77,26 +90,19 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """The windows of a slice of benchmark items and the places of their q-grams."""
+    """The windows of some benchmark items and the places of their q-grams. `items` are (item_id, folded text)."""
 
-    def __init__(self, items: list[tuple[int, str | None]], s: Settings):
-        self.q, self.ids, self.text, self.edits, self.need = s.q, [], [], [], []
+    def __init__(self, items: list[tuple[int | None, bytes]], q: int, s: Settings):
+        self.q, self.ids, self.text, self.edits, self.need = q, [], [], [], []
         self.at, self.of, self.whole = [], [], {}  # where a window begins in its item, and which item that is
-        data, offsets = flat(pa.array([t.lower() if t else t for _, t in items], pa.large_string()))
-        data, offsets = folded(data, offsets)
         keys, owner, place = [], [], []
-        for k, (item, _) in enumerate(items):
-            whole = data[offsets[k] : offsets[k + 1] - 1].tobytes().strip()
-            if len(whole) < s.q:
-                continue
+        for k, (item, whole) in enumerate(items):
             self.whole[k] = np.frombuffer(whole, np.uint8)
             last = max(0, len(whole) - s.window)
             for at in sorted({*range(0, last + 1, max(1, s.window // 2)), last}):
                 part = np.frombuffer(whole[at : at + s.window], np.uint8)
-                m, e = len(part), int(s.rate * len(part))
-                while e and m + 1 - s.q * (e + 1) < 1:
-                    e -= 1
-                g = grams(part, s.q)
+                m, e = len(part), s.edits(len(part))
+                g = grams(part, q)
                 keys.append(g)
                 owner.append(np.full(len(g), len(self.ids)))
                 place.append(np.arange(len(g)))
@@ -105,10 +111,7 @@ class Index:
                 self.at.append(at)
                 self.of.append(k)
                 self.edits.append(e)
-                self.need.append(m + 1 - s.q * (e + 1))
-        self.empty = not self.ids
-        if self.empty:
-            return
+                self.need.append(m + 1 - q * (e + 1))
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
         self.owner, self.place = np.concatenate(owner)[order], np.concatenate(place)[order]
@@ -200,6 +203,25 @@ class Index:
         return out
 
 
+class Indexes:
+    """An index for each length of q-grams that a slice of benchmark items needs."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], s: Settings):
+        data, offsets = folded(*flat(pa.array([t.lower() if t else t for _, t in items], pa.large_string())))
+        by: dict[int, list[tuple[int | None, bytes]]] = {}
+        for (item, _), a, z in zip(items, offsets.tolist(), offsets[1:].tolist()):
+            whole = data[a : z - 1].tobytes().strip()
+            if len(whole) >= s.q:
+                by.setdefault(s.q_of(min(len(whole), s.window)), []).append((item, whole))
+        self.of = [Index(found, q, s) for q, found in sorted(by.items())]
+
+    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        return [x for index in self.of for x in index.search(data, offsets)]
+
+    def joined(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int | None, int, int, int, int]]:
+        return [x for index in self.of for x in index.joined(data, offsets)]
+
+
 def aligned(part: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """The best place of `part` in `region` with at most `most` edits (start, end, edits); both ends of the region are free."""
     exact = region.tobytes().find(part.tobytes())
@@ -240,10 +262,10 @@ def _slices(benchmark: DataFrame, s: Settings) -> Iterator[list[tuple[int, str |
         yield sorted((tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()), key=lambda r: (r[0] is None, r[0], r[1]))
 
 
-def _found(index: Index, batch: pa.RecordBatch, text: str, search) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _found(batch: pa.RecordBatch, text: str, search) -> Iterator[tuple[pa.RecordBatch, list]]:
     for part in chunks(batch, text, 1 << 18):
         data, offsets = flat(pc.utf8_lower(part.column(text).cast(pa.large_string())))
-        yield part, search(*folded(data, offsets)) if not index.empty else []
+        yield part, search(*folded(data, offsets))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -252,12 +274,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in _slices(benchmark, settings):
-        index = Index(items, settings)
+        index = Indexes(items, settings)
 
-        def scan(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], index: Indexes = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for part, found in _found(index, batch, "text", index.joined):
+                for part, found in _found(batch, "text", index.joined):
                     ids, best = part.column("doc_id").to_pylist(), {}
                     for r, item, a, z, k, n in found:
                         rank = (k - n, k, a)  # the most characters that agree
@@ -275,11 +297,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents without those that hold a benchmark window; all their columns, in one pass with no shuffle."""
     for items in _slices(benchmark, settings):
-        index = Index(items, settings)
+        index = Indexes(items, settings)
 
-        def scan(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], index: Indexes = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, found in _found(index, batch, "text", index.search):
+                for part, found in _found(batch, "text", index.search):
                     keep = np.ones(part.num_rows, bool)
                     keep[[r for r, *_ in found]] = False
                     yield part.filter(pa.array(keep))

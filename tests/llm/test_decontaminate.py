@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 
 from graphloom.llm import decontaminate as dc
 from graphloom.llm.arrays import flat
@@ -40,10 +41,7 @@ def least_edits(part, text):
 
 
 def budget(part, s):
-    e = int(s.rate * len(part))
-    while e and len(part) + 1 - s.q * (e + 1) < 1:
-        e -= 1
-    return e
+    return int(s.rate * len(part))
 
 
 def brute(docs, items, s):
@@ -77,6 +75,34 @@ def test_against_brute_force(spark):
     assert kept == {k for k, _ in docs} - {r.doc_id for r in found}
 
 
+def test_items_shorter_than_a_window_keep_their_budget(spark):
+    """Lengths at which q-grams of ten bytes would leave none for all edits."""
+    rng = random.Random(11)
+    lengths = [10, 12, 13, 16, 19, 20, 25, 27, 29, 30, 38, 39, 44, 50, 61]
+    items = [(m, "".join(rng.choice("abcdefghij klmnop") for _ in range(m - 2)).strip().ljust(m - 1, "x") + "y") for m in lengths]
+    docs = []
+    for m, x in items:
+        for n in range(6):
+            docs.append((len(docs), f"{prose(rng, 5)} {spoiled(rng, x, n)} {prose(rng, 5)}"))
+    found = {(r.doc_id, r.item_id) for r in dc.matches(table(spark, docs), bench(spark, items)).collect()}
+    assert found == brute(docs, items, S)
+    assert {S.edits(m) for _, m in found} >= {0, 1, 2, 3} and {S.q_of(m) for m in lengths} >= {6, 8, 9, 10}
+
+
+@pytest.mark.parametrize("wrong", [{"window": 4096}, {"q": 1}, {"q": 20}, {"rate": 0.6}])
+def test_settings_that_the_keys_cannot_hold_are_errors(wrong):
+    with pytest.raises(ValueError):
+        dc.Settings(**wrong)
+
+
+def test_the_best_of_several_places_is_given(spark):
+    rng = random.Random(6)
+    x = prose(rng, 9)[:60].strip() + "zz"
+    spoilt = x[:20] + "q" + x[21:]
+    got = dc.matches(table(spark, [(1, f"{spoilt} and {x} and {x}")]), bench(spark, [(1, x)])).collect()
+    assert [(r.start, r.edits) for r in got] == [(len(spoilt) + 5, 0)]
+
+
 def test_slices_of_the_benchmark(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(rows(dc.matches(docs, items)))
