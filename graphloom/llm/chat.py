@@ -4,7 +4,7 @@ conversation into text segments with a loss flag each.
 Everything is built from column expressions; one shuffle brings the turns of a conversation together.
 
 Defined cases: rows with a null conv_id are left out; equal rows count once; a conversation is rejected if two different rows
-have the same turn, if a turn's number, role or text is null, if a text is blank, if a role has no arc from the state reached, or if
+have the same turn, if a turn's number, role or text is null, if a text is blank (nothing but ASCII white space), if a role has no arc from the state reached, or if
 it ends in a state that doesn't accept. Gaps between turn numbers are allowed. A rejected conversation gives one row of segment
 -1 with an empty text and no loss; segments that belong to no turn have an empty role. Other columns are ignored; an empty table gives no rows; texts are kept whole.
 """
@@ -52,7 +52,7 @@ def checked(conversations: DataFrame, template: Template = Template()) -> DataFr
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     end = F.aggregate("turns", F.lit(template.start), lambda state, t: _next(template, state, t["role"]))
-    sound = F.forall("turns", lambda t: t["turn"].isNotNull() & t["role"].isNotNull() & (F.length(F.trim(F.coalesce(t["text"], F.lit("")))) > 0))
+    sound = F.forall("turns", lambda t: t["turn"].isNotNull() & t["role"].isNotNull() & F.coalesce(t["text"].rlike(r"[^ \t\n\x0b\f\r]"), F.lit(False)))
     once = F.size(F.array_distinct(F.transform("turns", lambda t: t["turn"]))) == F.size("turns")
     return turns.withColumn("status", F.when(sound & once & end.isin(*template.accepting), "ok").otherwise("rejected"))
 
@@ -78,11 +78,11 @@ def formatted(conversations: DataFrame, template: Template = Template()) -> Data
 
 
 #: The same with the machine written as a regular expression over the roles' initials.
-SQL = """
+SQL = r"""
 WITH rows AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 seq AS (
   SELECT conv_id, string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn) AS roles,
-         count(*) = count(DISTINCT turn) AND bool_and(turn IS NOT NULL AND length(trim(coalesce(text, ''))) > 0) AS sound
+         count(*) = count(DISTINCT turn) AND bool_and(turn IS NOT NULL AND regexp_matches(coalesce(text, ''), '[^ \t\n\x0b\f\r]')) AS sound
   FROM rows GROUP BY conv_id
 ), judged AS (SELECT conv_id, CASE WHEN sound AND regexp_full_match(roles, 's?(ua)+u?') THEN 'ok' ELSE 'rejected' END AS status FROM seq),
 good AS (SELECT r.*, 3 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS base FROM rows r JOIN judged USING (conv_id) WHERE status = 'ok')

@@ -35,9 +35,9 @@ def test_odd_rows(spark):
     good = [("user", "a"), ("assistant", "b")]
     turns = [(1, 5, *good[0]), (1, 9, *good[1]), (1, 9, *good[1])]  # gaps and equal rows
     turns += [(2, 0, *good[0]), (2, 1, *good[1]), (2, 1, "assistant", "c")]  # two rows of one turn
-    turns += [(3, None, *good[0]), (3, 1, *good[1]), (4, 0, None, "a"), (4, 1, *good[1]), (5, 0, "user", None), (5, 1, *good[1]), (6, 0, "user", "  "), (6, 1, *good[1])]
+    turns += [(3, None, *good[0]), (3, 1, *good[1]), (4, 0, None, "a"), (4, 1, *good[1]), (5, 0, "user", None), (5, 1, *good[1]), (6, 0, "user", "  "), (6, 1, *good[1]), (8, 0, "user", "\n \t"), (8, 1, *good[1])]
     turns += [(None, 0, *good[0]), (7, 0, "user", "x" * 500_000), (7, 1, *good[1])]
-    assert status(spark, turns) == {1: "ok", 2: "rejected", 3: "rejected", 4: "rejected", 5: "rejected", 6: "rejected", 7: "ok"}
+    assert status(spark, turns) == {1: "ok", 2: "rejected", 3: "rejected", 4: "rejected", 5: "rejected", 6: "rejected", 7: "ok", 8: "rejected"}
     got = rows(chat.formatted(made(spark, turns)).where("conv_id = 2"))
     assert got == [(2, "rejected", -1, "", "", False)]
     assert rows(chat.formatted(made(spark, []))) == []
