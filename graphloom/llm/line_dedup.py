@@ -10,8 +10,9 @@
 
 Defined cases: lines under `least` bytes, and empty ones, are never counted or removed; a null text stays null, an empty one
 empty; documents with a null doc_id count as one document that comes last; rows that share a doc_id are one document, each row
-keeps its first copy of what that document owns; other columns stay as they are, and n_chars, if there, follows the text; empty
-tables give empty results. A line is compared as bytes between newlines, whole, however long.
+keeps its first copy of what that document owns; a doc_id of 2^63 - 1 counts as null; `counter` may not be the name of a column; other columns stay as they are, and n_chars, if there, follows the text; empty
+tables give empty results. Lines are told apart by a 64-bit hash of all their bytes between newlines, however long; of equal lines the one
+that comes first stays.
 """
 
 from __future__ import annotations
@@ -45,9 +46,10 @@ class PerfectHash:
 
     def __init__(self, sizes: list[int], bits: list[np.ndarray]):
         self.sizes, self.bits = sizes, bits
-        self.words = np.concatenate([np.unpackbits(b, bitorder="little") for b in bits]) if bits else np.zeros(0, np.uint8)
-        self.rank = np.concatenate([[0], np.cumsum(self.words, dtype=np.int64)])
-        self.base = np.concatenate([[0], np.cumsum([len(b) * 8 for b in bits])]).astype(np.int64)
+        padded = [np.concatenate([b, np.zeros(-len(b) % 8, np.uint8)]) for b in bits]
+        self.words = np.concatenate(padded).view(np.uint64) if bits else np.zeros(0, np.uint64)
+        self.rank = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])  # of the first bit of each word
+        self.base = np.concatenate([[0], np.cumsum([len(b) * 8 for b in padded])]).astype(np.int64)
 
     @staticmethod
     def slots(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -73,8 +75,9 @@ class PerfectHash:
         left = np.arange(len(keys))
         for level, size in enumerate(self.sizes):
             at = self.slots(keys[left], level, size) + self.base[level]
-            hit = self.words[at] == 1
-            out[left[hit]] = self.rank[at[hit]]
+            word, bit = self.words[at >> 6], np.uint64(1) << (at & 63).astype(np.uint64)
+            hit = (word & bit) > 0
+            out[left[hit]] = self.rank[at[hit] >> 6] + np.bitwise_count(word[hit] & bit[hit] - np.uint64(1))
             left = left[~hit]
             if not len(left):
                 break
@@ -210,6 +213,8 @@ def foreign_lines(docs: DataFrame, folder: str, shards: int, s: Settings = Setti
 def rewritten(docs: DataFrame, s: Settings = Settings(), drop_emptied: bool = False, counter: str | None = None) -> DataFrame:
     """The documents without lines that others own or that they repeat. `counter` names a column for how many lines went;
     with `drop_emptied` a document that loses all its text goes too."""
+    if counter and counter.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {counter} already")
     folder, shards, _ = build_index(docs, s)
     key, gone = fresh("doc", docs.columns), fresh("gone", docs.columns)
     lost = foreign_lines(docs, folder, shards, s).withColumnsRenamed({"doc": key, "gone": gone})

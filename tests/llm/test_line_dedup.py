@@ -76,3 +76,16 @@ def test_probe_gives_counts_and_owners(spark):
     count, owner = line_dedup.Shard(folder, 0).probe(np.array([5, 6], np.uint64))  # foreign keys
     assert count.tolist() == [0, 0] and owner.tolist() == [line_dedup.LAST] * 2
     assert sorted(line_dedup.Shard(folder, 0).counts.tolist()) == [1, 1, 1, 1, 7]
+
+
+def test_a_counter_may_not_take_the_name_of_a_column(spark):
+    with pytest.raises(ValueError):
+        line_dedup.rewritten(table(spark, DOCS), counter="Gone")
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 64, 65, 5000])
+def test_places_are_a_permutation(n):
+    keys = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
+    made = line_dedup.PerfectHash.build(np.unique(keys))
+    again = line_dedup.PerfectHash.unpacked(*made.packed())
+    assert sorted(again.places(keys).tolist()) == list(range(n))
