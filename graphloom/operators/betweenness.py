@@ -1,51 +1,56 @@
 """Betweenness from a sample of pivots: shortest paths from each, then dependencies back along them.
 
 All states are rows (pivot, vertex, ...), so that a round is one join with the edges and one aggregation, for all pivots of a batch at
-once. Weights are lengths; 0 counts as 1. Each pivot's dependencies add up without scaling; with every vertex a pivot the result is the
+once, and goes on until no path gets shorter. Weights are lengths; 0 counts as 1. Each pivot's dependencies add up without scaling; with every vertex a pivot the result is the
 exact betweenness.
 """
 
 from __future__ import annotations
 
-import warnings
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..session import cut
+from .statistics import ranked
 
 
 @dataclass(frozen=True)
 class Settings:
     batch: int = 16  # pivots of a round
-    most: int = 64  # no further round beyond so many pivots
+    most: int | None = 64  # no further round beyond so many pivots; None: all vertices are pivots
     top: int = 20  # the set that has to settle
     changes: int = 2  # settled: at most so many new vertices in it
-    supersteps: int = 20
+    supersteps: int | None = None  # an error if paths of more edges come up
     seed: int = 1
 
 
+EXACT = Settings(batch=256, most=None)
+
+
 def _distances(edges: DataFrame, pivots: DataFrame, s: Settings) -> DataFrame:
     """(pivot, v, dist) by relaxing only what changed in the last superstep."""
     best = cut(pivots.select(F.col("id").alias("pivot"), F.col("id").alias("v"), F.lit(0).cast("long").alias("dist")))
     front = best
-    for _ in range(s.supersteps):
+    steps = 0
+    while not front.isEmpty():
+        if s.supersteps is not None and steps >= s.supersteps:
+            raise RuntimeError(f"shortest paths have more than {s.supersteps} edges")
+        steps += 1
         reached = front.join(edges, front["v"] == edges["src"]).groupBy("pivot", F.col("dst").alias("v")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         both = best.join(reached, ["pivot", "v"], "full").withColumn("changed", F.col("dist").isNull() | (F.col("new") < F.col("dist")))
         both = cut(both.select("pivot", "v", F.when(F.col("changed"), F.col("new")).otherwise(F.col("dist")).alias("dist"), "changed"))
         best, front = both.drop("changed"), both.where("changed").drop("changed")
-        if front.isEmpty():
-            return best
-    warnings.warn(f"paths of more than {s.supersteps} edges are not followed", stacklevel=2)
     return best
 
 
-def _rounds(start: DataFrame, links: DataFrame, most: int) -> DataFrame:
-    """Σ over j of links^j applied to start (pivot, v, x); links (pivot, a, b, f) carry x from a to b times f."""
+def _rounds(start: DataFrame, links: DataFrame) -> DataFrame:
+    """Σ over j of links^j applied to start (pivot, v, x); links (pivot, a, b, f), which have no cycle, carry x from a to b times f."""
     total, now = start, start
-    for k in range(1, most + 1):
+    for k in count(1):
         now = cut(links.join(now, (links["pivot"] == now["pivot"]) & (links["a"] == now["v"])).groupBy(links["pivot"], F.col("b").alias("v")).agg(F.sum(F.col("x") * F.col("f")).alias("x")))
         if now.isEmpty():
             break
@@ -63,26 +68,26 @@ def dependencies(graph: Graph, pivots: DataFrame, s: Settings = Settings()) -> D
     ends = dist.select("pivot", F.col("v").alias("dst"), F.col("dist").alias("far"))
     dag = cut(dist.join(edges, dist["v"] == edges["src"]).join(ends, ["pivot", "dst"]).where("dist + w = far").select("pivot", F.col("v").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("f")))
     edges.unpersist()
-    steps = 10 * s.supersteps
-    sigma = _rounds(dist.where("dist = 0").select("pivot", "v", F.lit(1.0).alias("x")), dag, steps)
+    sigma = _rounds(dist.where("dist = 0").select("pivot", "v", F.lit(1.0).alias("x")), dag)
     a, b = (sigma.select("pivot", F.col("v").alias(k), F.col("x").alias(f"s_{k}")) for k in ("a", "b"))
     back = cut(dag.join(a, ["pivot", "a"]).join(b, ["pivot", "b"]).select("pivot", F.col("b").alias("a"), F.col("a").alias("b"), (F.col("s_a") / F.col("s_b")).alias("f")))
     ones = sigma.select("pivot", "v", F.lit(1.0).alias("x"))
-    all_ = _rounds(ones, back, steps)
+    all_ = _rounds(ones, back)
     return all_.where("v <> pivot").groupBy(F.col("v").alias("id")).agg((F.sum("x") - F.count("*")).alias("value"))
 
 
 def betweenness(graph: Graph, s: Settings = Settings()) -> DataFrame:
-    """(id, betweennessCentrality), over as many rounds of fresh pivots as the top set needs to settle."""
-    order = graph.vertices.select("id").orderBy(F.xxhash64(F.lit(s.seed), "id"), "id").limit(s.most + s.batch)
-    chosen = [r["id"] for r in order.collect()]  # at most s.most + s.batch ids
-    spark, used, total, before = graph.vertices.sparkSession, 0, None, None
-    while used < len(chosen) and used <= s.most:
-        batch = chosen[used : used + s.batch]
-        used += len(batch)
-        found = dependencies(graph, spark.createDataFrame([(i,) for i in batch], "id long"), s)
+    """(id, betweennessCentrality), over as many rounds of fresh pivots as the top set needs to settle, or over all vertices."""
+    pivots = cut(ranked(graph.vertices.select(F.xxhash64(F.lit(s.seed), "id").alias("lot"), "id"), "lot").select("id", "rank"))
+    used, total, before, vertices = 0, None, None, pivots.count()
+    while used < vertices and (s.most is None or used <= s.most):
+        batch = pivots.where((F.col("rank") >= used) & (F.col("rank") < used + s.batch)).select("id")
+        used += s.batch
+        found = dependencies(graph, batch, s)
         total = found if total is None else total.unionByName(found)
         total = cut(total.groupBy("id").agg(F.sum("value").alias("value")))
+        if s.most is None:
+            continue
         top = {r["id"] for r in total.orderBy(F.desc("value"), "id").limit(s.top).collect()}
         if before is not None and len(top - before) <= s.changes:
             break

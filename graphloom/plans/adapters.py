@@ -56,12 +56,13 @@ def flow(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of_edges(p.groupBy(F.col("p_user").alias("src"), F.col("user_id").alias("dst")).agg(F.count("*").alias("weight")))
 
 
-def affinity(spark: SparkSession, sf_dir: str) -> Graph:
-    """Customer to part, over large lines at a high discount: a graph of many components."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09").select("l_orderkey", "l_partkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    both = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-    return Graph.of_edges(both.groupBy(F.col("o_custkey").alias("src"), (F.col("l_partkey") + _SHIFT).alias("dst")).agg(F.count("*").alias("weight")))
+def geography(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers and suppliers to their nations, nations to their regions: a graph with a component for each region."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_nationkey").cast("long") + 2 * _SHIFT).alias("dst"))
+    suppliers = table(spark, sf_dir, "supplier").select((F.col("s_suppkey").cast("long") + _SHIFT).alias("src"), (F.col("s_nationkey").cast("long") + 2 * _SHIFT).alias("dst"))
+    nations = table(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") + 2 * _SHIFT).alias("src"), (F.col("n_regionkey").cast("long") + 3 * _SHIFT).alias("dst"))
+    edges = customers.unionByName(suppliers).unionByName(nations)
+    return Graph.of_edges(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.lit(1).cast("long").alias("weight")))
 
 
 def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,13 +88,13 @@ def ego_expand(spark, sf_dir):
 @query
 def drop_isolated(spark, sf_dir):
     customers = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return Graph(customers, adapters.affinity(spark, sf_dir).edges).drop_isolated().vertices
+    return Graph(customers, adapters.trade(spark, sf_dir).edges).drop_isolated().vertices
 
 
 @query
 def dangling_ends(spark, sf_dir):
     customers = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return Graph(customers, adapters.affinity(spark, sf_dir).edges).dangling()
+    return Graph(customers, adapters.trade(spark, sf_dir).edges).dangling()
 
 
 @query
@@ -215,12 +215,12 @@ def scalar_functions(spark, sf_dir):
 
 @query
 def eigen_centrality(spark, sf_dir):
-    return _round(centrality.eigenvector(adapters.flow(spark, sf_dir), 20), "eigenCentrality")
+    return _round(centrality.eigenvector(adapters.flow(spark, sf_dir)), "eigenCentrality")
 
 
 @query
 def eigen_centrality_undirected(spark, sf_dir):
-    return _round(centrality.eigenvector(adapters.flow(spark, sf_dir), 10, directed=False), "eigenCentrality")
+    return _round(centrality.eigenvector(adapters.flow(spark, sf_dir), directed=False), "eigenCentrality")
 
 
 @query
@@ -235,17 +235,17 @@ def personalized_pagerank(spark, sf_dir):
 
 @query
 def connected_components(spark, sf_dir):
-    return components.components(adapters.affinity(spark, sf_dir))
+    return components.components(adapters.geography(spark, sf_dir))
 
 
 @query
 def giant_component(spark, sf_dir):
-    return components.giant_component(adapters.affinity(spark, sf_dir)).edges
+    return components.giant_component(adapters.geography(spark, sf_dir)).edges
 
 
 @query
 def top_clusters(spark, sf_dir):
-    return statistics.top_clusters(components.components(adapters.affinity(spark, sf_dir)), "component")
+    return statistics.top_clusters(components.components(adapters.geography(spark, sf_dir)), "component")
 
 
 @query
@@ -260,42 +260,45 @@ def pregel_hops(spark, sf_dir):
 
 @query
 def louvain_communities(spark, sf_dir):
-    return louvain.communities(adapters.affinity(spark, sf_dir))
+    return louvain.communities(adapters.flow(spark, sf_dir))
 
 
 @query
 def louvain_compat(spark, sf_dir):
-    return louvain.communities(adapters.affinity(spark, sf_dir), louvain.Settings("compat"))
+    return louvain.communities(adapters.flow(spark, sf_dir), louvain.Settings("compat"))
 
 
 @query
 def modularity_score(spark, sf_dir):
-    g = adapters.affinity(spark, sf_dir)
+    g = adapters.geography(spark, sf_dir)
     return _round(louvain.modularity_score(g, components.components(g).withColumnRenamed("component", "modularity")), "q")
 
 
-def _heaviest(spark, sf_dir) -> Graph:
-    return adapters.flow(spark, sf_dir)
-
-
 @query
 def betweenness(spark, sf_dir):
-    return _round(bc.betweenness(_heaviest(spark, sf_dir)), "betweennessCentrality")
+    """Exact: every vertex is a pivot."""
+    return _round(bc.betweenness(adapters.flow(spark, sf_dir), bc.EXACT), "betweennessCentrality")
 
 
 @query
 def high_betweenness_set(spark, sf_dir):
-    return _round(bc.high_betweenness_set(_heaviest(spark, sf_dir)), "betweennessCentrality")
+    return _round(bc.high_betweenness_set(adapters.flow(spark, sf_dir), bc.EXACT), "betweennessCentrality")
 
 
 @query
 def betweenness_of_pivot(spark, sf_dir):
     """What the shortest paths from the user of the least id give to each vertex."""
-    g = _heaviest(spark, sf_dir)
+    g = adapters.flow(spark, sf_dir)
     pivot = g.vertices.orderBy("id").limit(1)
     return _round(bc.dependencies(g, cut(pivot)), "value").where("value > 0")
 
 
+@query
+def betweenness_of_samples(spark, sf_dir):
+    """From pivots drawn in rounds, until the vertices of the highest values settle."""
+    return _round(bc.betweenness(adapters.flow(spark, sf_dir)), "betweennessCentrality")
+
+
 # ---- sinks and sources
 
 

@@ -12,10 +12,29 @@ _TRADE = """trade_rows AS (
 _FLOW = """pairs AS (SELECT lag(user_id) OVER w AS src, user_id AS dst FROM events WINDOW w AS (ORDER BY ts, event_id)),
 flow AS (SELECT src, dst, count(*) AS weight FROM pairs WHERE src IS NOT NULL GROUP BY src, dst),
 users AS (SELECT src AS id FROM flow UNION SELECT dst FROM flow)"""
-_AFFINITY = """affinity AS (
-  SELECT o_custkey AS src, l_partkey + 1000000000 AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_quantity >= 49 AND l_discount >= 0.09 GROUP BY 1, 2
-), ends AS (SELECT src AS id FROM affinity UNION SELECT dst FROM affinity)"""
+_GEOGRAPHY = """geography AS (
+  SELECT CAST(c_custkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) + 2000000000 AS dst, CAST(1 AS BIGINT) AS weight FROM customer
+  UNION ALL SELECT CAST(s_suppkey AS BIGINT) + 1000000000, CAST(s_nationkey AS BIGINT) + 2000000000, 1 FROM supplier
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 2000000000, CAST(n_regionkey AS BIGINT) + 3000000000, 1 FROM nation
+), ends AS (SELECT src AS id FROM geography UNION SELECT dst FROM geography)"""
+# lengths of the shortest paths between all users, by as many relaxations as the longest of them has edges, and their numbers
+_PATHS = """links AS (SELECT src, dst, min(CASE WHEN weight = 0 THEN 1 ELSE weight END) AS w FROM flow WHERE src <> dst GROUP BY src, dst),
+relaxed(k, s, v, dist) AS (
+  SELECT 0, id, id, CAST(0 AS BIGINT) FROM users WHERE {start}
+  UNION ALL
+  SELECT k + 1, s, v, min(dist) FROM (SELECT k, s, v, dist FROM relaxed UNION ALL SELECT r.k, r.s, l.dst, r.dist + l.w FROM relaxed r JOIN links l ON l.src = r.v) WHERE k < 24 GROUP BY k, s, v
+), d AS (SELECT s, v, dist FROM relaxed WHERE k = 24),
+dag AS (SELECT a.s, l.src AS a, l.dst AS b FROM d a JOIN links l ON l.src = a.v JOIN d b ON b.s = a.s AND b.v = l.dst WHERE a.dist + l.w = b.dist),
+walked(k, s, v, n) AS (
+  SELECT 0, s, s, 1.0::DOUBLE FROM d WHERE s = v
+  UNION ALL
+  SELECT k + 1, s, b, sum(n) FROM (SELECT w.k, w.s, g.b, w.n FROM walked w JOIN dag g ON g.s = w.s AND g.a = w.v) GROUP BY k, s, b
+), sigma AS (SELECT s, v, sum(n) AS n FROM walked GROUP BY s, v),
+back(k, s, v, x) AS (
+  SELECT 0, s, v, 1.0::DOUBLE FROM sigma
+  UNION ALL
+  SELECT k + 1, s, a, sum(x) FROM (SELECT t.k, t.s, g.a, t.x * p.n / q.n AS x FROM back t JOIN dag g ON g.s = t.s AND g.b = t.v JOIN sigma p ON p.s = g.s AND p.v = g.a JOIN sigma q ON q.s = g.s AND q.v = g.b) GROUP BY k, s, a
+), given AS (SELECT v AS id, sum(x) AS value FROM back WHERE k > 0 AND v <> s GROUP BY v)"""
 _ITEMS = """e AS (
   SELECT event_id AS item, user_id AS nick, event_type AS body, 'e' || event_id AS link, epoch_us(ts) // 1000 AS date, lag(user_id) OVER w AS pnick, lag(event_id) OVER w AS parent,
          lag(epoch_us(ts) // 1000) OVER w AS pdate FROM events WINDOW w AS (ORDER BY ts, event_id)
@@ -82,9 +101,10 @@ state AS (
 ) SELECT id, round(arg_max(pr, k), 6) AS pageRank FROM state GROUP BY id"""
 
 
-_COMPONENTS = f"""WITH RECURSIVE {_AFFINITY}, both_ways AS (SELECT src AS a, dst AS b FROM affinity UNION SELECT dst, src FROM affinity),
+_COMPONENTS = f"""WITH RECURSIVE {_GEOGRAPHY}, both_ways AS (SELECT src AS a, dst AS b FROM geography UNION SELECT dst, src FROM geography),
 reach(id, seen) AS (SELECT id, id FROM ends UNION SELECT r.id, w.b FROM reach r JOIN both_ways w ON w.a = r.seen),
 comp AS (SELECT id, min(seen) AS component FROM reach GROUP BY id)"""
+_ALL_PATHS = f"WITH RECURSIVE {_FLOW}, {_PATHS.format(start='true')}, all_values AS (SELECT u.id, round(coalesce(value, 0), 6) AS betweennessCentrality FROM users u LEFT JOIN given USING (id))"
 
 QUERIES: dict[str, str] = {
     "build_edges_merge": f"WITH {_TRADE} SELECT * FROM trade",
@@ -95,8 +115,8 @@ QUERIES: dict[str, str] = {
     "ego_expand": f"""WITH {_ITEMS}, seeds AS (SELECT * FROM e WHERE nick = 3 OR pnick = 3),
 people AS (SELECT id FROM (SELECT nick AS id, date FROM seeds UNION ALL SELECT pnick, pdate FROM seeds WHERE parent > 0) GROUP BY id ORDER BY max(date) DESC, id LIMIT 5)
 SELECT item AS item_id, nick AS nick_id, pnick AS item_parentNickId FROM e WHERE nick = 3 OR pnick = 3 OR nick IN (SELECT id FROM people) OR pnick IN (SELECT id FROM people)""",
-    "drop_isolated": f"WITH {_AFFINITY} SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT id FROM ends)",
-    "dangling_ends": f"WITH {_AFFINITY} SELECT id FROM ends WHERE id NOT IN (SELECT c_custkey FROM customer)",
+    "drop_isolated": f"WITH {_TRADE} SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT src FROM trade)",
+    "dangling_ends": f"WITH {_TRADE} SELECT DISTINCT dst AS id FROM trade WHERE dst NOT IN (SELECT c_custkey FROM customer)",
     "partitioned_edges": f"WITH {_FLOW} SELECT s AS strategy, count(DISTINCT src) AS sources, CAST(sum(weight) AS BIGINT) AS weight FROM flow, (VALUES ('CanonicalRandomVertexCut'), ('RandomVertexCut'), ('EdgePartition1D'), ('EdgePartition2D')) v(s) GROUP BY s",
     "triplets": f"WITH {_FLOW} SELECT src, dst, weight * 2 AS weight, src % 2 AS src_parity, dst % 2 AS dst_parity FROM flow",
     "degrees": f"WITH {_FLOW}, {_degrees('flow')} SELECT id, degree, inDegree, outDegree FROM d",
@@ -120,17 +140,20 @@ SELECT item AS item_id, nick AS nick_id, pnick AS item_parentNickId FROM e WHERE
     "dedup_first": "SELECT event_id AS item_id, user_id AS nick_id FROM events",
     "scalar_functions": """SELECT event_id, '&lt;a b=&quot;' || event_type || '&quot;&gt;&amp;' AS xml, strftime(ts, '%d/%m/%Y %H:%M') AS day, epoch_ms(date_trunc('minute', ts)) AS back,
 event_type AS head, 'x' AS tail, CAST(0 AS BIGINT) AS "none" FROM events""",
-    "eigen_centrality": _eigen("SELECT src, dst FROM flow", 20),
-    "eigen_centrality_undirected": _eigen("SELECT src, dst FROM flow UNION ALL SELECT dst, src FROM flow", 10),
+    "eigen_centrality": _eigen("SELECT src, dst FROM flow", 100),
+    "eigen_centrality_undirected": _eigen("SELECT src, dst FROM flow UNION ALL SELECT dst, src FROM flow", 100),
     "pagerank": _pagerank("0.15", 0.01),
     "personalized_pagerank": _pagerank("CASE WHEN id = 1 THEN 1.0 ELSE 0.0 END", 0.0001),
     "connected_components": f"{_COMPONENTS} SELECT id, component FROM comp",
-    "giant_component": f"{_COMPONENTS}, big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT src, dst, weight FROM affinity WHERE src IN (SELECT id FROM comp WHERE component IN (SELECT component FROM big))",
+    "giant_component": f"{_COMPONENTS}, big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT src, dst, weight FROM geography WHERE src IN (SELECT id FROM comp WHERE component IN (SELECT component FROM big))",
     "top_clusters": f"{_COMPONENTS} SELECT component AS cluster, count(*) AS n FROM comp GROUP BY 1 ORDER BY n DESC, cluster LIMIT 10",
     "pregel_hops": f"WITH RECURSIVE {_FLOW}, walk(id, hops) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT f.dst, w.hops + 1 FROM walk w JOIN flow f ON f.src = w.id WHERE w.hops < 20) SELECT u.id, coalesce(min(hops), 1000000) AS hops FROM users u LEFT JOIN walk USING (id) GROUP BY u.id",
-    "modularity_score": f"""{_COMPONENTS}, e AS (SELECT weight, a.component AS ca, b.component AS cb FROM affinity JOIN comp a ON a.id = src JOIN comp b ON b.id = dst),
+    "modularity_score": f"""{_COMPONENTS}, e AS (SELECT weight, a.component AS ca, b.component AS cb FROM geography JOIN comp a ON a.id = src JOIN comp b ON b.id = dst),
 k AS (SELECT c, sum(w) AS k FROM (SELECT ca AS c, weight AS w FROM e UNION ALL SELECT cb, weight FROM e) GROUP BY c), i AS (SELECT ca AS c, sum(weight) AS i FROM e WHERE ca = cb GROUP BY ca)
 SELECT round(sum(2.0::DOUBLE * coalesce(i, 0) / m - (k / m) ** 2), 6) AS q FROM k LEFT JOIN i USING (c), (SELECT sum(k)::DOUBLE AS m FROM k)""",
+    "betweenness": f"{_ALL_PATHS} SELECT * FROM all_values",
+    "high_betweenness_set": f"{_ALL_PATHS} SELECT * FROM all_values ORDER BY betweennessCentrality DESC, id LIMIT 20",
+    "betweenness_of_pivot": f"WITH RECURSIVE {_FLOW}, {_PATHS.format(start='id = (SELECT min(id) FROM users)')} SELECT id, round(value, 6) AS value FROM given WHERE round(value, 6) > 0",
     "gexf_roundtrip_edges": f"WITH {_ITEMS} SELECT src, dst, weight FROM ({_EDGE.format(_EGO_ROWS)})",
     "jsonl_roundtrip": f"WITH {_ITEMS} SELECT src, dst, weight, firstItemLink, lastItemLink, firstItemDate, lastItemDate FROM ({_EDGE.format(_EGO_ROWS)})",
     "csv_export": f"WITH {_ITEMS} SELECT src, dst, weight, lastItemBody AS label FROM ({_EDGE.format(_EGO_ROWS)})",
