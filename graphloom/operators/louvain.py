@@ -2,7 +2,12 @@
 
 `louvain` moves vertices by the gain over whole communities, with true modularity; `compat` looks at one neighbour at a time and keeps
 the rules of an older implementation, over-merging included. Both keep the state as rows: vertices with their community, and links
-(a, b, w) in both directions.
+(a, b, w) in both directions. A level ends when passes move too few vertices, or after `iterations` of them; levels go on as long as
+each raises the modularity by more than `increase`.
+
+Defined cases: vertices without edges are communities of their own; parallel edges and both directions add up; of options with equal
+gains `louvain` stays, else takes the community of the larger id, `compat` takes the neighbour of the least id; a graph without
+edges keeps each vertex alone.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..session import cut
+from ..session import cut, observed
 
 
 @dataclass(frozen=True)
@@ -24,7 +29,6 @@ class Settings:
     resolution: float = 1.0
     increase: float = 0.001
     iterations: int = 30
-    levels: int = 20
 
 
 def _undirected(graph: Graph, use_weight: bool) -> DataFrame:
@@ -74,9 +78,9 @@ class _Level:
         gain = self.s.resolution * F.col("w") - F.col("k") * rest / self.m2
         best = options.groupBy("v", "k", "c").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (F.col("to") == F.col("c")).alias("stays"), F.col("to"))).alias("b"))
         allowed = F.col("b.to") < F.col("c") if even else F.col("b.to") > F.col("c")
-        new = cut(best.select("v", "k", F.when(allowed, F.col("b.to")).otherwise(F.col("c")).alias("c"), allowed.alias("moved")))
+        new, seen = observed(best.select("v", "k", F.when(allowed, F.col("b.to")).otherwise(F.col("c")).alias("c"), allowed.alias("moved")), {"moved": F.count_if("moved")})
         self.state = new.drop("moved")
-        return new.where("moved").count()
+        return seen["moved"]
 
     def folded(self) -> DataFrame:
         """The pairs of the next level: communities as vertices, inner weights as loops."""
@@ -87,7 +91,7 @@ class _Level:
 def _louvain(graph: Graph, s: Settings) -> DataFrame:
     pairs = cut(_undirected(graph, s.use_weight))
     track, last = None, None
-    for _ in range(s.levels):
+    while True:
         level = _Level(pairs, s)
         if not level.m2:
             break
@@ -101,25 +105,34 @@ def _louvain(graph: Graph, s: Settings) -> DataFrame:
         if now <= last + s.increase:
             break
         last = now
-        step = level.state.select(F.col("v").alias("community"), F.col("c"))
-        track = cut(level.state.select(F.col("v").alias("id"), F.col("c").alias("community")) if track is None else track.join(step, "community").select("id", F.col("c").alias("community")))
+        track = _relabelled(track, level.state)
         pairs = cut(level.folded())
     return track if track is not None else graph.vertices.select("id", F.col("id").alias("community"))
 
 
+def _relabelled(track: DataFrame | None, state: DataFrame) -> DataFrame:
+    if track is None:
+        return cut(state.select(F.col("v").alias("id"), F.col("c").alias("community")))
+    return cut(track.join(state.select(F.col("v").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
+
+
+def _both_ends(edges: DataFrame) -> DataFrame:
+    """(v, u, w) for both ends of the edges (v, u, w)."""
+    return edges.select(F.explode(F.array(F.struct("v", "u", "w"), F.struct(F.col("u").alias("v"), F.col("v").alias("u"), "w"))).alias("x")).select("x.*")
+
+
 def _compat(graph: Graph, s: Settings) -> DataFrame:
     """Neighbour by neighbour. The state of a level is (v, c, deg): deg is the weight of all edge ends of the vertex; links are the
-    weights to each neighbour, loops counted twice."""
-    edges = cut(graph.weights().select("src", "dst", F.col("weight").alias("w") if s.use_weight else F.lit(1).cast("long").alias("w")))
-    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("u"), "w"), F.struct(F.col("dst").alias("v"), F.col("src").alias("u"), "w"))).alias("x")).select("x.*")
+    weights to each neighbour, loops counted twice. What the last pass of a level would have moved stays where it is."""
+    edges = graph.weights().select(F.col("src").alias("v"), F.col("dst").alias("u"), F.col("weight").alias("w") if s.use_weight else F.lit(1).cast("long").alias("w"))
     track, q = None, -1.0
+    links = cut(_both_ends(edges).groupBy("v", "u").agg(F.sum("w").alias("w")))
     while True:
-        links = cut(ends.groupBy("v", "u").agg(F.sum("w").alias("w")))
-        state = cut(links.groupBy("v").agg(F.sum("w").alias("deg")).withColumn("c", F.col("v")))
-        total = float(state.agg(F.sum("deg").alias("t")).head()["t"] or 0.0)
+        state, seen = observed(links.groupBy("v").agg(F.sum("w").alias("deg")).withColumn("c", F.col("v")), {"total": F.coalesce(F.sum("deg"), F.lit(0))})
+        total = float(seen["total"])
         if not total:
             break
-        n, quiet, before, updates = 0, 0, 0, -s.min_updates
+        n, quiet, before, updates, applied = 0, 0, 0, -s.min_updates, False
         while True:
             size = state.groupBy("c").agg(F.count("*").alias("size"))
             near = links.join(state.select(F.col("v").alias("u"), F.col("c").alias("to"), F.col("deg").alias("far")), "u").join(state.join(size, "c"), "v")
@@ -129,31 +142,33 @@ def _compat(graph: Graph, s: Settings) -> DataFrame:
             best = near.groupBy("v", "deg", "c").agg(F.max_by(F.struct("to"), F.struct(gain, -F.col("u"))).alias("b"), F.max(gain).alias("g"))
             gate = F.col("b.to") < F.col("c") if n % 2 == 0 else F.col("b.to") > F.col("c")
             goes = (F.col("g") > 0) & gate
-            new = cut(best.select("v", "deg", F.when(goes, F.col("b.to")).otherwise(F.col("c")).alias("c"), goes.alias("moved")))
-            state, moved = new.drop("moved"), new.where("moved").count()
+            new, seen = observed(best.select("v", "deg", F.when(goes, F.col("b.to")).otherwise(F.col("c")).alias("c"), goes.alias("moved")), {"moved": F.count_if("moved")})
             n += 1
             if n % 2:
                 updates = 0
-            updates += moved
+            updates += seen["moved"]
             if n % 2 == 0:
                 quiet += updates >= before - s.min_updates
                 before = updates
             if not (quiet <= 1 and updates > 0 and n < s.iterations):
                 break
-        step = state.select(F.col("v").alias("community"), "c")
-        track = cut(state.select(F.col("v").alias("id"), F.col("c").alias("community")) if track is None else track.join(step, "community").select("id", F.col("c").alias("community")))
+            state, applied = new.drop("moved"), True
+        if applied:
+            track = _relabelled(track, state)
+        if not applied or n <= 2:
+            break
         side = state.select("v", "c")
         pairs = links.join(side, "v").join(side.withColumnsRenamed({"v": "u", "c": "d"}), "u")
         # communities as vertices; of parallel edges with equal weights one is kept
         folded = pairs.select(F.greatest("c", "d").alias("v"), F.least("c", "d").alias("u"), "w").distinct().groupBy("v", "u").agg(F.sum("w").alias("w"))
-        folded = cut(folded)
-        inner = folded.where("v = u").select(F.col("v").alias("c"), (2 * F.col("w")).alias("i"))
-        by = inner.join(state.groupBy("c").agg(F.sum("deg").alias("k")), "c")
-        now = float(by.agg(F.sum(s.resolution * F.col("i") / total - F.pow(F.col("k") / (2 * total), 2)).alias("q")).head()["q"] or 0.0)
-        if not (n > 2 and now > q + s.increase):
+        links = cut(_both_ends(folded).groupBy("v", "u").agg(F.sum("w").alias("w")))
+        # a loop's weight is in `links` twice already
+        by = links.groupBy(F.col("v").alias("c")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w"))).alias("i"))
+        by = by.crossJoin(F.broadcast(by.agg(F.sum("k").alias("t"))))  # one row
+        now = float(by.where("i is not null").agg(F.sum(s.resolution * F.col("i") / F.col("t") - F.pow(F.col("k") / (2 * F.col("t")), 2)).alias("q")).head()["q"] or 0.0)
+        if not now > q + s.increase:
             break
         q = now
-        ends = folded.select(F.explode(F.array(F.struct("v", "u", "w"), F.struct(F.col("u").alias("v"), F.col("v").alias("u"), "w"))).alias("x")).select("x.*")
     return track if track is not None else graph.vertices.select("id", F.col("id").alias("community"))
 
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..session import cut
+from ..session import observed
 
 Watch = dict[str, Column]
 
@@ -21,15 +21,11 @@ Watch = dict[str, Column]
 def iterate(state: DataFrame, step: Callable[[DataFrame, dict], DataFrame], watch: Watch, go_on: Callable[[int, dict], bool]) -> tuple[DataFrame, int, dict]:
     """Apply `step` while `go_on(rounds so far, observed)`; the last state, the rounds and what was observed on it."""
 
-    def settled(df: DataFrame) -> tuple[DataFrame, dict]:
-        seen = Observation()
-        return cut(df.observe(seen, *(c.alias(n) for n, c in watch.items()))), seen.get
-
-    state, seen = settled(state)
+    state, seen = observed(state, watch)
     rounds = 0
     while go_on(rounds, seen):
         rounds += 1
-        state, seen = settled(step(state, seen))
+        state, seen = observed(step(state, seen), watch)
     return state, rounds, seen
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -57,3 +58,10 @@ def cut(df: DataFrame) -> DataFrame:
     """End the lineage with a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def observed(df: DataFrame, watch: Mapping[str, Column]) -> tuple[DataFrame, dict]:
+    """End the lineage, and what aggregates over the rows came to while they were computed."""
+    seen = Observation()
+    out = cut(df.observe(seen, *(c.alias(n) for n, c in watch.items())))
+    return out, seen.get
