@@ -94,6 +94,11 @@ def merged_edges(rows: DataFrame) -> DataFrame:
     )
 
 
+def once(items: DataFrame) -> DataFrame:
+    """Each document once."""
+    return items.dropDuplicates(["item_id"])
+
+
 def latest_authors(raw: DataFrame, k: int) -> DataFrame:
     """The k authors of some documents, or of what these answer, who were active last."""
     return merged_vertices(author_vertices(author_items(raw))).orderBy(F.desc("lastItemDate"), "id").limit(k).select("id")
@@ -105,4 +110,4 @@ def ego_expansion(raw: DataFrame, ego: int, k: int = 25) -> DataFrame:
     people = F.broadcast(latest_authors(seeds, k))  # k rows
     by = raw.join(people, raw["nick_id"] == people["id"], "left_semi")
     to = raw.join(people, raw["item_parentNickId"] == people["id"], "left_semi")
-    return seeds.unionByName(by).unionByName(to).dropDuplicates(["item_id"])
+    return once(seeds.unionByName(by).unionByName(to))

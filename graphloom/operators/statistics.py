@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import cut
 
 
 def summary(vertices: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -21,7 +21,7 @@ def summary(vertices: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def ranked(df: DataFrame, column: str, tie: str = "id") -> DataFrame:
     """The rows with `rank`, their place from 0 in the order of a column. Ranges are ranked side by side: no task sees all rows."""
-    placed, _ = written(df.repartitionByRange(column, tie).withColumn("_part", F.spark_partition_id()), "ranges")
+    placed = cut(df.repartitionByRange(column, tie).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").count()
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     within = F.row_number().over(Window.partitionBy("_part").orderBy(column, tie))
@@ -94,16 +94,20 @@ def sample_quantiles(values: Sequence[float], probabilities: Sequence[float] = (
 def report(vertices: DataFrame, scalars: Sequence[str], groups: Sequence[str], vertex_count: int, edge_count: int, top: int = 25) -> list[str]:
     """The text of the statistics file. What is collected is bounded: a line for each metric, bin and top entry."""
     out = [f"vertices: {vertex_count}", f"edges: {edge_count}", ""]
-    if scalars:
-        for r in summary(vertices, scalars).collect():
-            out.append(f"{r['metric']}: " + ", ".join(f"{k}={r[k]}" for k in ("count", "mean", "max", "min", "variance", "non_zeros")))
+    known = {r["metric"]: r for r in summary(vertices, scalars).collect()} if scalars else {}
+    for m, r in known.items():
+        out.append(f"{m}: " + ", ".join(f"{k}={r[k]}" for k in ("count", "mean", "max", "min", "variance", "non_zeros")))
     for m in scalars:
-        parts = percentiles(vertices, m).orderBy("position").collect()
-        edge = fences(percentiles(vertices, m), 100).head() if parts else None
+        shares = cut(percentiles(vertices, m))
+        parts = shares.orderBy("position").collect()
+        edge = fences(shares, 100).head() if parts else None
+        low, high = (edge["low"], edge["high"]) if edge else (0.0, 0.0)
         out += ["", f"{m} percentiles: " + " ".join(str(r["value"]) for r in parts)]
         if edge:
-            out.append(f"{m} outer fences: {edge['low']} {edge['high']}")
-        out.append(f"{m} histogram: " + " ".join(f"{r['start']:g}:{r['n']}" for r in histogram(vertices, m).orderBy("bin").collect()))
+            out.append(f"{m} outer fences: {low} {high}")
+        if low == high:
+            low, high = known[m]["min"] or 0.0, known[m]["max"] or 0.0
+        out.append(f"{m} histogram: " + " ".join(f"{r['start']:g}:{r['n']}" for r in histogram(vertices, m, 100, low, high).orderBy("bin").collect()))
         out.append(f"{m} top: " + " ".join(f"{r['id']}={r[m]}" for r in top_vertices(vertices, m, top).collect()))
     for m in groups:
         found = clusters(vertices, m)

@@ -150,7 +150,7 @@ def parsed(text: str) -> dict[str, object]:
     def plain(t: str) -> object:
         return json.loads(t) if t.startswith('"') else t.strip()
 
-    def value() -> object:
+    def value(stop: str = "\n,}") -> object:
         nonlocal at
         skip("\n")
         if at >= len(tokens):
@@ -169,10 +169,10 @@ def parsed(text: str) -> dict[str, object]:
                 if tokens[at] == "]":
                     at += 1
                     return items
-                items.append(value())
+                items.append(value("\n,]"))
         at += 1
         out = [plain(t)]
-        while at < len(tokens) and tokens[at] not in "\n,}":  # signs inside an unquoted value, as in a path
+        while at < len(tokens) and tokens[at] not in stop:  # signs inside an unquoted value, as in a path
             out.append(plain(tokens[at]))
             at += 1
         return out[0] if len(out) == 1 else "".join(str(x) for x in out)

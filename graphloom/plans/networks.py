@@ -14,7 +14,7 @@ from ..sinks.csv import save_csv
 from ..sinks.gexf import save_gexf
 from ..sinks.jsonl import save_jsonl
 from ..sources.gexf import read_gexf
-from ..sources.items import read_items, sampled
+from ..sources.items import expanded, read_items, sampled
 from ..sources.jsonl import read_jsonl
 from .config import ConfigError, NetworkConfig
 
@@ -54,8 +54,18 @@ class EgoNetwork(Network):
     """Authors around one of them: who answers, mentions and replies to whom."""
 
     def items(self, spark: SparkSession, config: NetworkConfig) -> DataFrame:
+        """With an ego, two scans: its own documents, then those of the authors in them who were active last. A search engine gets both
+        as queries, so that it only gives out what is asked for."""
         found = super().items(spark, config)
-        return c.ego_expansion(found, config.ego, config.ego_relations) if config.ego else found
+        if not config.ego:
+            return found
+        if ";" not in config.connection:
+            return c.ego_expansion(found, config.ego, config.ego_relations)
+        people = [r["id"] for r in c.latest_authors(found, config.ego_relations).collect()]  # as many as the setting says
+        if not people:
+            return found
+        more = read_items(spark, expanded(config.connection, people))
+        return c.once(found.unionByName(input_partitioned(more, config.partition_number)))
 
     def build(self, items: DataFrame, config: NetworkConfig | None = None) -> Graph:
         rows = c.ego_items(items)

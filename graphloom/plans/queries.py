@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +12,11 @@ from ..graph import Graph
 from ..operators import betweenness as bc
 from ..operators import centrality, components, construction, degree, filters, louvain, partition, pregel, statistics
 from ..operators.metrics import computed
-from ..session import cut
+from ..session import cut, removed, scratch_path, written
 from ..sinks import csv as csv_sink
 from ..sinks.gexf import save_gexf
 from ..sinks.jsonl import save_jsonl
+from ..sinks.stats import save_stats
 from ..sources.gexf import read_gexf
 from ..sources.items import sampled
 from ..sources.jsonl import read_jsonl
@@ -99,8 +98,15 @@ def dangling_ends(spark, sf_dir):
 
 @query
 def partitioned_edges(spark, sf_dir):
-    edges = adapters.flow(spark, sf_dir).edges
-    frames = [partition.partitioned(edges, s, 4).groupBy("src").agg(F.sum("weight").alias("w")).agg(F.lit(s).alias("strategy"), F.count("*").alias("sources"), F.sum("w").alias("weight")) for s in partition.STRATEGIES]
+    """For each strategy over four partitions: edges and weight, and whether all edges of a key lie in as few partitions as they should."""
+    edges = cut(adapters.flow(spark, sf_dir).edges)
+    keys = {"CanonicalRandomVertexCut": (["least(src, dst)", "greatest(src, dst)"], 1), "RandomVertexCut": (["src", "dst"], 1), "EdgePartition1D": (["src"], 1), "EdgePartition2D": (["src"], 2)}
+    frames = []
+    for s in partition.STRATEGIES:
+        key, most = keys[s]
+        placed = partition.partitioned(edges, s, 4).withColumn("part", F.spark_partition_id())
+        by = placed.groupBy(*(F.expr(k).alias(f"k{i}") for i, k in enumerate(key))).agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"), F.sum("weight").alias("w"))
+        frames.append(by.agg(F.lit(s).alias("strategy"), F.sum("n").alias("edges"), F.sum("w").alias("weight"), (F.max("parts") <= most).alias("together")))
     return statistics.union_all(frames)
 
 
@@ -181,25 +187,22 @@ def global_rank(spark, sf_dir):
 
 @query
 def sampled_scan(spark, sf_dir):
-    return sampled(adapters.event_items(spark, sf_dir), 20).select(F.count("*").over(_all()).alias("n")).distinct()
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))  # over 20 rows
+    """How many documents a sample of 20 has, how many different ones, and how many of these the table has."""
+    items = adapters.event_items(spark, sf_dir)
+    taken = sampled(items, 20, seed=3).select("item_id")
+    there = taken.join(items.select("item_id"), "item_id", "left_semi").agg(F.count("*").alias("known"))
+    return taken.agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("different")).crossJoin(there)  # one row each
 
 
 @query
 def union_distinct(spark, sf_dir):
-    e = adapters.flow(spark, sf_dir).edges
-    return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    return Graph.of_edges(adapters.flow(spark, sf_dir).edges).vertices
 
 
 @query
 def dedup_first(spark, sf_dir):
     items = adapters.event_items(spark, sf_dir).select("item_id", "nick_id")
-    return items.unionByName(items.where("nick_id % 2 = 0")).dropDuplicates(["item_id"])
+    return construction.once(items.unionByName(items.where("nick_id % 2 = 0")))
 
 
 @query
@@ -308,27 +311,79 @@ def _stored(spark, sf_dir) -> Graph:
     return g.with_(vertices=cut(g.vertices), edges=cut(g.edges))
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="graphloom-")
+def _back(spark: SparkSession, name: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    """What is read from a file in the shared folder, which then goes."""
+    folder = scratch_path(spark, "export")
+    out, _ = written(read(f"{folder}/{name}"), "read-back")
+    removed(spark, folder)
+    return out
 
 
 @query
 def gexf_roundtrip(spark, sf_dir):
-    return read_gexf(spark, save_gexf(_stored(spark, sf_dir), os.path.join(_folder(), "g.gexf"))).vertices.select("id", "nickName", "urlNumber", "degree", "inDegree", "outDegree", "component")
+    g = _stored(spark, sf_dir)
+    return _back(spark, "g.gexf", lambda f: read_gexf(spark, save_gexf(g, f)).vertices.select("id", "nickName", "urlNumber", "domainNumber", "degree", "inDegree", "outDegree", "component"))
 
 
 @query
 def gexf_roundtrip_edges(spark, sf_dir):
-    return read_gexf(spark, save_gexf(_stored(spark, sf_dir), os.path.join(_folder(), "g.gexf"))).edges.select("src", "dst", "weight")
+    g = _stored(spark, sf_dir)
+    return _back(spark, "g.gexf", lambda f: read_gexf(spark, save_gexf(g, f)).edges.select("src", "dst", "weight", "firstItemBody", "lastItemBody", "firstItemLink", "lastItemLink"))
 
 
 @query
 def jsonl_roundtrip(spark, sf_dir):
-    return read_jsonl(spark, save_jsonl(_stored(spark, sf_dir), os.path.join(_folder(), "g.json"))).edges.select("src", "dst", "weight", "firstItemLink", "lastItemLink", "firstItemDate", "lastItemDate")
+    g = _stored(spark, sf_dir)
+    return _back(spark, "g.json", lambda f: read_jsonl(spark, save_jsonl(g, f)).edges)
+
+
+@query
+def jsonl_roundtrip_vertices(spark, sf_dir):
+    """Those with dates: people who are only mentioned have none, and a stored vertex needs them."""
+    g = _stored(spark, sf_dir)
+    return _back(spark, "g.json", lambda f: read_jsonl(spark, save_jsonl(g, f)).vertices.select("id", "nickName", "activity", "rating", "firstItemDate", "lastItemDate", "urlNumber", "domainNumber", "degree", "component"))
 
 
 @query
 def csv_export(spark, sf_dir):
-    _, edges = csv_sink.save_csv(_stored(spark, sf_dir), os.path.join(_folder(), "g"))
-    read = spark.read.option("sep", ";").option("header", True).schema("Source long, Target long, Type string, Id long, Weight long, Label string").csv(edges)
-    return read.select(F.col("Source").alias("src"), F.col("Target").alias("dst"), F.col("Weight").alias("weight"), F.col("Label").alias("label"))
+    """Edges of the second file; how often an id occurs tells whether ids are unique."""
+    g = _stored(spark, sf_dir)
+
+    def read(target: str) -> DataFrame:
+        _, edges = csv_sink.save_csv(g, target)
+        rows = spark.read.option("sep", ";").option("header", True).schema("Source long, Target long, Type string, Id long, Weight long, Label string, firstItemBody string, firstItemLink string, lastItemLink string").csv(edges)
+        rows = rows.join(rows.groupBy("Id").agg(F.count("*").alias("ids")), "Id")
+        return rows.select(F.col("Source").alias("src"), F.col("Target").alias("dst"), F.col("Type").alias("type"), F.col("Weight").alias("weight"), F.col("Label").alias("label"), "ids")
+
+    return _back(spark, "g", read)
+
+
+@query
+def csv_export_nodes(spark, sf_dir):
+    g = _stored(spark, sf_dir)
+    g = g.with_(vertices=g.vertices.select("id", "nickName", "activity", "degree", "inDegree", "outDegree", "component"))
+
+    def read(target: str) -> DataFrame:
+        nodes, _ = csv_sink.save_csv(g, target)
+        rows = spark.read.option("sep", ";").option("header", True).option("enforceSchema", False).schema("Id long, Label string, activity long, degree long, inDegree long, outDegree long, component long").csv(nodes)
+        return rows.select(F.col("Id").alias("id"), F.col("Label").alias("label"), "activity", "degree", "inDegree", "outDegree", "component")
+
+    return _back(spark, "g", read)
+
+
+@query
+def job_statistics(spark, sf_dir):
+    """The first lines of the statistics file of a graph: numbers of vertices and edges, and what metrics come to."""
+    g = _measured(spark, sf_dir)
+    g = g.with_(vertices=cut(g.vertices))
+
+    def read(target: str) -> DataFrame:
+        save_stats(g, target)
+        lines = spark.read.text(target)
+        parts = F.regexp_extract_all("value", F.lit(r"=(-?[0-9.E]+|None)"), 1)
+        heads = lines.where(F.col("value").rlike("^(vertices|edges): ")).select(F.split("value", ": ")[0].alias("name"), F.split("value", ": ")[1].cast("double").alias("value"))
+        sums = lines.where(F.col("value").rlike(r"^\w+: count=")).select(F.regexp_extract("value", r"^(\w+):", 1).alias("m"), parts.alias("p"))
+        named = [sums.select(F.concat("m", F.lit(f" {c}")).alias("name"), F.round(F.col("p")[k].cast("double"), 6).alias("value")) for k, c in enumerate(("count", "mean", "max", "min", "variance", "non_zeros"))]
+        return statistics.union_all([heads, *named])
+
+    return _back(spark, "g.stats", read)

@@ -106,6 +106,12 @@ reach(id, seen) AS (SELECT id, id FROM ends UNION SELECT r.id, w.b FROM reach r
 comp AS (SELECT id, min(seen) AS component FROM reach GROUP BY id)"""
 _ALL_PATHS = f"WITH RECURSIVE {_FLOW}, {_PATHS.format(start='true')}, all_values AS (SELECT u.id, round(coalesce(value, 0), 6) AS betweennessCentrality FROM users u LEFT JOIN given USING (id))"
 
+_STORED = f"""WITH RECURSIVE {_ITEMS}, ego AS ({_EDGE.format(_EGO_ROWS)}), {_degrees('ego')},
+both_ways AS (SELECT src AS a, dst AS b FROM ego UNION SELECT dst, src FROM ego), reach(id, seen) AS (SELECT id, id FROM d UNION SELECT r.id, w.b FROM reach r JOIN both_ways w ON w.a = r.seen),
+comp AS (SELECT id, min(seen) AS component FROM reach GROUP BY id),
+v AS (SELECT id, nullif(nickName, '') AS nickName, activity, rating, firstItemDate, lastItemDate, urlNumber, domainNumber, degree, inDegree, outDegree, coalesce(component, id) AS component
+      FROM ({_merged(' UNION ALL '.join((_OWN, _PARENT, _MENTION, _REPLY)))}) LEFT JOIN d USING (id) LEFT JOIN comp USING (id))"""
+
 QUERIES: dict[str, str] = {
     "build_edges_merge": f"WITH {_TRADE} SELECT * FROM trade",
     "vertex_aggregate": f"WITH {_ITEMS} SELECT id, nullif(nickName, '') AS nickName, activity, rating, firstItemDate, lastItemDate, urlNumber, domainNumber, parentData FROM ({_merged(_OWN + ' UNION ALL ' + _PARENT)})",
@@ -117,7 +123,7 @@ people AS (SELECT id FROM (SELECT nick AS id, date FROM seeds UNION ALL SELECT p
 SELECT item AS item_id, nick AS nick_id, pnick AS item_parentNickId FROM e WHERE nick = 3 OR pnick = 3 OR nick IN (SELECT id FROM people) OR pnick IN (SELECT id FROM people)""",
     "drop_isolated": f"WITH {_TRADE} SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT src FROM trade)",
     "dangling_ends": f"WITH {_TRADE} SELECT DISTINCT dst AS id FROM trade WHERE dst NOT IN (SELECT c_custkey FROM customer)",
-    "partitioned_edges": f"WITH {_FLOW} SELECT s AS strategy, count(DISTINCT src) AS sources, CAST(sum(weight) AS BIGINT) AS weight FROM flow, (VALUES ('CanonicalRandomVertexCut'), ('RandomVertexCut'), ('EdgePartition1D'), ('EdgePartition2D')) v(s) GROUP BY s",
+    "partitioned_edges": f"WITH {_FLOW} SELECT s AS strategy, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight, true AS together FROM flow, (VALUES ('CanonicalRandomVertexCut'), ('RandomVertexCut'), ('EdgePartition1D'), ('EdgePartition2D')) v(s) GROUP BY s",
     "triplets": f"WITH {_FLOW} SELECT src, dst, weight * 2 AS weight, src % 2 AS src_parity, dst % 2 AS dst_parity FROM flow",
     "degrees": f"WITH {_FLOW}, {_degrees('flow')} SELECT id, degree, inDegree, outDegree FROM d",
     "degree_only": f"WITH {_FLOW}, {_degrees('flow')} SELECT id, degree FROM d",
@@ -135,7 +141,7 @@ SELECT item AS item_id, nick AS nick_id, pnick AS item_parentNickId FROM e WHERE
     "percentile_fences": f"{_RANKED}, s AS ({_shares(100)}), q AS (SELECT max(value) FILTER (WHERE position = 25) AS q1, max(value) FILTER (WHERE position = 75) AS q3 FROM s) SELECT coalesce(CAST(q1 - 3 * abs(q3 - q1) AS DOUBLE), 0.0) AS low, coalesce(CAST(q3 + 3 * abs(q3 - q1) AS DOUBLE), 0.0) AS high FROM q",
     "histogram": f"{_MEASURED}, h AS (SELECT CASE WHEN degree = 60 THEN 20 ELSE degree * 20 // 60 + 1 END AS bin, count(*) AS n FROM d WHERE degree BETWEEN 0 AND 60 GROUP BY 1) SELECT CAST(b AS INTEGER) AS bin, round((b - 1) * 3.0::DOUBLE, 6) AS start, coalesce(n, 0) AS n FROM range(1, 21) t(b) LEFT JOIN h ON h.bin = b",
     "global_rank": f"{_RANKED} SELECT id, rank FROM r",
-    "sampled_scan": "SELECT CAST(least(20, count(*)) AS BIGINT) AS n FROM events",
+    "sampled_scan": "SELECT CAST(least(20, count(*)) AS BIGINT) AS n, CAST(least(20, count(*)) AS BIGINT) AS different, CAST(least(20, count(*)) AS BIGINT) AS known FROM events",
     "union_distinct": f"WITH {_FLOW} SELECT id FROM users",
     "dedup_first": "SELECT event_id AS item_id, user_id AS nick_id FROM events",
     "scalar_functions": """SELECT event_id, '&lt;a b=&quot;' || event_type || '&quot;&gt;&amp;' AS xml, strftime(ts, '%d/%m/%Y %H:%M') AS day, epoch_ms(date_trunc('minute', ts)) AS back,
@@ -154,7 +160,17 @@ SELECT round(sum(2.0::DOUBLE * coalesce(i, 0) / m - (k / m) ** 2), 6) AS q FROM
     "betweenness": f"{_ALL_PATHS} SELECT * FROM all_values",
     "high_betweenness_set": f"{_ALL_PATHS} SELECT * FROM all_values ORDER BY betweennessCentrality DESC, id LIMIT 20",
     "betweenness_of_pivot": f"WITH RECURSIVE {_FLOW}, {_PATHS.format(start='id = (SELECT min(id) FROM users)')} SELECT id, round(value, 6) AS value FROM given WHERE round(value, 6) > 0",
-    "gexf_roundtrip_edges": f"WITH {_ITEMS} SELECT src, dst, weight FROM ({_EDGE.format(_EGO_ROWS)})",
-    "jsonl_roundtrip": f"WITH {_ITEMS} SELECT src, dst, weight, firstItemLink, lastItemLink, firstItemDate, lastItemDate FROM ({_EDGE.format(_EGO_ROWS)})",
-    "csv_export": f"WITH {_ITEMS} SELECT src, dst, weight, lastItemBody AS label FROM ({_EDGE.format(_EGO_ROWS)})",
+    "gexf_roundtrip": f"{_STORED} SELECT id, nickName, urlNumber, domainNumber, degree, inDegree, outDegree, component FROM v",
+    # an edge of one item has the same text and link first and last
+    "gexf_roundtrip_edges": f"WITH {_ITEMS} SELECT src, dst, weight, firstItemBody, CASE WHEN weight > 1 THEN lastItemBody ELSE firstItemBody END AS lastItemBody, firstItemLink, CASE WHEN weight > 1 THEN lastItemLink ELSE firstItemLink END AS lastItemLink FROM ({_EDGE.format(_EGO_ROWS)})",
+    "jsonl_roundtrip": f"WITH {_ITEMS} SELECT * FROM ({_EDGE.format(_EGO_ROWS)})",
+    "jsonl_roundtrip_vertices": f"{_STORED} SELECT id, nickName, activity, rating, firstItemDate, lastItemDate, urlNumber, domainNumber, degree, component FROM v WHERE nickName IS NOT NULL AND firstItemDate IS NOT NULL",
+    "csv_export": f"WITH {_ITEMS} SELECT src, dst, 'Directed' AS type, weight, lastItemBody AS label, CAST(1 AS BIGINT) AS ids FROM ({_EDGE.format(_EGO_ROWS)})",
+    "csv_export_nodes": f"{_STORED} SELECT id, nickName AS label, activity, degree, inDegree, outDegree, component FROM v",
+    "job_statistics": f"{_MEASURED} SELECT 'vertices' AS name, CAST(count(*) AS DOUBLE) AS value FROM d UNION ALL SELECT 'edges', CAST(count(*) AS DOUBLE) FROM trade "
+    + " ".join(
+        f"UNION ALL SELECT '{m} {n}', CAST(round({x}, 6) AS DOUBLE) FROM d"
+        for m in ("degree", "inDegree", "outDegree", "weightedDegree", "weightedInDegree", "weightedOutDegree")
+        for n, x in (("count", f"count({m})"), ("mean", f"avg({m})"), ("max", f"max({m})"), ("min", f"min({m})"), ("variance", f"var_samp({m})"), ("non_zeros", f"count_if({m} <> 0)"))
+    ),
 }

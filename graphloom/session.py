@@ -18,16 +18,19 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: `spark.checkpoint.dir`; a local one only where that is unset."""
+    """The folder every executor sees: `spark.checkpoint.dir`; a local one only where that is unset and there is but one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(f"/tmp/graphloom-{uuid.uuid4().hex[:8]}")
             found = spark.sparkContext.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():
@@ -48,10 +51,22 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def file_system(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM has them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The sorted names in a folder; none if it isn't there."""
+    path, fs = file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    hadoop, fs = file_system(spark, path)
+    fs.delete(hadoop, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
