@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    """The ends of edges, each once, by one pass over them."""
+    return edges.select(F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("id")).distinct()
+
+
 @dataclass(frozen=True)
 class Graph:
     vertices: DataFrame
@@ -18,8 +23,7 @@ class Graph:
     @classmethod
     def of_edges(cls, edges: DataFrame, **flags: bool) -> Graph:
         """A graph of edges alone; its vertices are their ends."""
-        ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-        return cls(ends, edges, **flags)
+        return cls(_ends(edges), edges, **flags)
 
     def with_(self, **parts) -> Graph:
         return replace(self, **parts)
@@ -51,13 +55,11 @@ class Graph:
 
     def drop_isolated(self) -> Graph:
         """Without the vertices that no edge touches."""
-        ends = self.edges.select(F.col("src").alias("id")).unionByName(self.edges.select(F.col("dst").alias("id")))
-        return self.with_(vertices=self.vertices.join(ends.distinct(), "id", "left_semi"))
+        return self.with_(vertices=self.vertices.join(_ends(self.edges), "id", "left_semi"))
 
     def dangling(self) -> DataFrame:
         """Ends of edges that are no vertices."""
-        ends = self.edges.select(F.col("src").alias("id")).unionByName(self.edges.select(F.col("dst").alias("id"))).distinct()
-        return ends.join(self.vertices.select("id"), "id", "left_anti")
+        return _ends(self.edges).join(self.vertices.select("id"), "id", "left_anti")
 
     def validate(self) -> Graph:
         if not self.dangling().isEmpty():

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .pregel import iterate
+from .pregel import Spread, iterate
 
 
-def eigenvector(graph: Graph, iterations: int = 100, directed: bool | None = None) -> DataFrame:
+def eigenvector(graph: Graph, iterations: int = 100, directed: bool | None = None, hub: int = 1_000_000) -> DataFrame:
     """(id, eigenCentrality) after a fixed number of power rounds.
 
     A vertex adds what its in-neighbours (all neighbours, if undirected) hold to its own sum, and holds the sum divided by the largest
@@ -21,7 +21,8 @@ def eigenvector(graph: Graph, iterations: int = 100, directed: bool | None = Non
     touched = links.select(ends.alias("id")).distinct()
     if not directed:
         links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    links = links.groupBy("src", "dst").agg(F.count("*").alias("n")).repartition("src").persist()
+    links = links.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    spread = Spread(links, hub)
     state = touched.withColumn("u", F.lit(0.0))
 
     def held(top: float | None, first: bool) -> Column:
@@ -30,7 +31,7 @@ def eigenvector(graph: Graph, iterations: int = 100, directed: bool | None = Non
     def step(now: DataFrame, seen: dict) -> DataFrame:
         # the largest sum was observed while the last round computed the sums
         going = now.select(F.col("id").alias("src"), held(seen["top"], seen["n"] == 0).alias("hold"))
-        got = links.join(going, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("hold") * F.col("n")).alias("got"))
+        got = spread.join(going).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("hold") * F.col("n")).alias("got"))
         return now.join(got, "id", "left").select("id", (F.col("u") + F.coalesce("got", F.lit(0.0))).alias("u"))
 
     def go_on(n: int, seen: dict) -> bool:
@@ -38,13 +39,13 @@ def eigenvector(graph: Graph, iterations: int = 100, directed: bool | None = Non
         return n < iterations
 
     out, _, seen = iterate(state, step, {"top": F.max("u")}, go_on)
-    links.unpersist()
+    spread.close()
     value = held(seen["top"], iterations == 0)
     found = out.select("id", value.alias("eigenCentrality"))
     return graph.vertices.select("id").join(found, "id", "left").fillna(0.0, ["eigenCentrality"])
 
 
-def pagerank(graph: Graph, reset: float = 0.15, tolerance: float = 0.01, iterations: int = 100, source: int | None = None, directed: bool | None = None) -> DataFrame:
+def pagerank(graph: Graph, reset: float = 0.15, tolerance: float = 0.01, iterations: int = 100, source: int | None = None, directed: bool | None = None, hub: int = 1_000_000) -> DataFrame:
     """(id, pageRank) by propagating changes: a vertex passes its last change on while this is above the tolerance and it has received
     something in the round before. Ranks add up to about the number of vertices; the rank of a vertex without out-edges is lost.
 
@@ -54,17 +55,18 @@ def pagerank(graph: Graph, reset: float = 0.15, tolerance: float = 0.01, iterati
     links = graph.edges.select("src", "dst")
     ends = links.select("src") if directed else links.select(F.explode(F.array("src", "dst")).alias("src"))
     out = ends.groupBy("src").agg(F.count("*").alias("d"))
-    shares = links.join(out, "src").groupBy("src", "dst").agg(F.sum(1 / F.col("d")).alias("share")).repartition("src").persist()
+    shares = links.join(out, "src").groupBy("src", "dst").agg(F.sum(1 / F.col("d")).alias("share"))
+    spread = Spread(shares, hub)
     start = F.lit(reset) if source is None else F.when(F.col("id") == source, 1.0).otherwise(0.0)
     state = graph.vertices.select("id").withColumn("pr", start).withColumn("delta", F.col("pr"))
 
     def step(now: DataFrame, _: dict) -> DataFrame:
         going = now.where(F.col("delta") > tolerance).select(F.col("id").alias("src"), "delta")
-        got = shares.join(going, "src").groupBy(F.col("dst").alias("id")).agg(((1 - reset) * F.sum(F.col("delta") * F.col("share"))).alias("more"))
+        got = spread.join(going).groupBy(F.col("dst").alias("id")).agg(((1 - reset) * F.sum(F.col("delta") * F.col("share"))).alias("more"))
         both = now.join(got, "id", "left")
         new = F.col("pr") + F.coalesce("more", F.lit(0.0))
         return both.select("id", new.alias("pr"), (new - F.col("pr")).alias("delta"))
 
     found, _, _ = iterate(state, step, {"going": F.count_if(F.col("delta") > tolerance)}, lambda n, seen: n < iterations and seen["going"] > 0)
-    shares.unpersist()
+    spread.close()
     return found.select("id", F.col("pr").alias("pageRank"))

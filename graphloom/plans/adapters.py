@@ -10,6 +10,7 @@ from ..graph import Graph
 from ..operators.construction import merged_edges
 from ..operators.statistics import ranked
 from ..schemas import ITEMS
+from ..session import cut
 
 _SHIFT = 1_000_000_000
 
@@ -38,7 +39,8 @@ def trade_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.of_edges(merged_edges(trade_rows(spark, sf_dir)))
+    """Its edges are merged once, though a query uses them for vertices and metrics too."""
+    return Graph.of_edges(cut(merged_edges(trade_rows(spark, sf_dir))))
 
 
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

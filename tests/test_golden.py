@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import betweenness as bc
-from graphloom.operators import centrality, components, construction, degree, filters, louvain, metrics
+from graphloom.operators import centrality, components, construction, degree, filters, louvain, metrics, pregel
 from graphloom.plans.networks import AuthorNetwork, EgoNetwork
 
 from .items import day, items
@@ -40,6 +41,19 @@ def test_eigenvector(author):
     assert by_id(centrality.eigenvector(author), "eigenCentrality") == pytest.approx({1: 1.0, 2: 1.0, 3: 0.6187484941488304, 4: 0.0}, abs=1e-6)
 
 
+@pytest.mark.parametrize("hub", [0, 1, 3])
+def test_hubs_apart_give_the_same(author, hub):
+    """Sources with more edges than `hub` are joined by another way."""
+    one, two = (by_id(centrality.pagerank(author, hub=k), "pageRank") for k in (hub, 10**6))
+    assert one == pytest.approx(two, rel=1e-12)
+    one, two = (by_id(centrality.eigenvector(author, 5, hub=k), "eigenCentrality") for k in (hub, 10**6))
+    assert one == pytest.approx(two, rel=1e-12)
+    start = {"n": F.col("id"), "go": F.lit(True)}
+    got = (pregel.pregel(author, start, F.col("n") * F.col("weight"), F.max, {"n": F.greatest("n", F.coalesce("msg", "n")), "go": F.coalesce("msg", F.lit(0)) > F.col("n")}, F.col("go"), 3, hub=k) for k in (hub, 10**6))
+    one, two = (by_id(g, "n") for g in got)
+    assert one == two and max(one.values()) > 4
+
+
 def test_components_and_communities(author):
     assert by_id(components.components(author), "component") == dict.fromkeys([1, 2, 3, 4], 1)
     assert components.giant_component(author).vertices.count() == 4
