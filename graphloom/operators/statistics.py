@@ -72,6 +72,13 @@ def histogram(vertices: DataFrame, metric: str, bins: int = 100, low: float | No
     return all_bins.join(counts, "bin", "left").select("bin", (lo + (F.col("bin") - 1) * (hi - lo) / bins).alias("start"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def sign_counts(vertices: DataFrame, metric: str) -> DataFrame:
+    """(sign, n): how many values lie below, at and above 0; vertices without a value aren't counted."""
+    found = vertices.where(F.col(metric).isNotNull()).groupBy(F.signum(F.col(metric).cast("double")).cast("int").alias("sign")).agg(F.count("*").alias("n"))
+    signs = vertices.sparkSession.createDataFrame([(-1,), (0,), (1,)], "sign int")
+    return signs.join(found, "sign", "left").select("sign", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def top_vertices(vertices: DataFrame, metric: str, k: int = 25) -> DataFrame:
     return vertices.orderBy(F.desc(metric), "id").limit(k)
 

@@ -35,6 +35,13 @@ class Result:
     def summary(self) -> str:
         return "\n".join(f"{k}: {time_text(1000 * s)}" for k, s in self.seconds.items())
 
+    def lineage(self) -> str:
+        """Columns, partitions and plans of the graph."""
+        out = []
+        for what, df in (("vertices", self.graph.vertices), ("edges", self.graph.edges)):
+            out += [f"{what}: {df.rdd.getNumPartitions()} partitions, columns {', '.join(df.columns)}", df._jdf.queryExecution().simpleString()]
+        return "\n".join(out)
+
 
 def run(spark: SparkSession, config: NetworkConfig) -> Result:
     """Metrics are validated before anything is read. Stored graphs keep their isolated vertices and their edges as they are."""

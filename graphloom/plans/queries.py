@@ -165,6 +165,13 @@ def summary_stats(spark, sf_dir):
     return _round(statistics.summary(_measured(spark, sf_dir).vertices, ["degree", "weightedDegree", "inDegree"]), "mean", "variance")
 
 
+@query
+def sign_buckets(spark, sf_dir):
+    """How far a vertex's weighted in-degree is from its out-degree, by sign."""
+    v = _measured(spark, sf_dir).vertices
+    return statistics.sign_counts(v.select("id", (F.col("weightedInDegree") - F.col("weightedOutDegree") - 15).alias("balance")), "balance")
+
+
 @query
 def quantiles(spark, sf_dir):
     return statistics.quantiles(_measured(spark, sf_dir).vertices, "weightedDegree", 4)

@@ -137,6 +137,7 @@ SELECT item AS item_id, nick AS nick_id, pnick AS item_parentNickId FROM e WHERE
         f"SELECT '{m}' AS metric, count({m}) AS count, round(avg({m}), 6) AS mean, CAST(max({m}) AS DOUBLE) AS max, CAST(min({m}) AS DOUBLE) AS min, round(var_samp({m}), 6) AS variance, count_if({m} <> 0)::BIGINT AS non_zeros FROM d"
         for m in ("degree", "weightedDegree", "inDegree")
     ),
+    "sign_buckets": f"{_MEASURED} SELECT s AS sign, count(id) AS n FROM (VALUES (-1), (0), (1)) v(s) LEFT JOIN d ON sign(weightedInDegree - weightedOutDegree - 15) = s GROUP BY s",
     "quantiles": f"{_RANKED} {_shares(4)}",
     "percentile_fences": f"{_RANKED}, s AS ({_shares(100)}), q AS (SELECT max(value) FILTER (WHERE position = 25) AS q1, max(value) FILTER (WHERE position = 75) AS q3 FROM s) SELECT coalesce(CAST(q1 - 3 * abs(q3 - q1) AS DOUBLE), 0.0) AS low, coalesce(CAST(q3 + 3 * abs(q3 - q1) AS DOUBLE), 0.0) AS high FROM q",
     "histogram": f"{_MEASURED}, h AS (SELECT CASE WHEN degree = 60 THEN 20 ELSE degree * 20 // 60 + 1 END AS bin, count(*) AS n FROM d WHERE degree BETWEEN 0 AND 60 GROUP BY 1) SELECT CAST(b AS INTEGER) AS bin, round((b - 1) * 3.0::DOUBLE, 6) AS start, coalesce(n, 0) AS n FROM range(1, 21) t(b) LEFT JOIN h ON h.bin = b",

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -23,6 +24,19 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     )
 
 
+@contextmanager
+def opened_session(name: str, **settings: str) -> Iterator[SparkSession]:
+    """The session of the thread, or a new one, which is stopped at the end."""
+    there = SparkSession.getActiveSession()
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC")
+    spark = there or builder.config(map=settings).getOrCreate()
+    try:
+        yield spark
+    finally:
+        if there is None:
+            spark.stop()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: `spark.checkpoint.dir`; a local one only where that is unset and there is but one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

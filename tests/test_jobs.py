@@ -5,9 +5,10 @@ import json
 import pytest
 
 from graphloom import __main__ as command
-from graphloom.plans import networks
+from graphloom.plans import networks, server, stages
 from graphloom.plans.config import ConfigError, NetworkConfig, parsed
 from graphloom.plans.job import run
+from graphloom.session import opened_session
 from graphloom.sources import items as source
 from graphloom.sources.gexf import read_gexf
 from graphloom.sources.jsonl import read_jsonl
@@ -117,6 +118,34 @@ def test_command_line(spark, stored, tmp_path, capsys):
         assert {json.loads(x)["_type"] for x in f} == {"author", "edge"}
 
 
+def test_as_a_server_calls_it(spark, stored, tmp_path):
+    good = {"network": {"type": "AuthorNetwork", "connectionString": stored, "outputPath": str(tmp_path / "served"), "datasource": "Items", "metrics": "DEGREE"}}
+    assert server.validate(good) == server.Valid()
+    for more in ({"metrics": "NONSENSE"}, {"type": "Nothing"}, {"exporter": "Nothing"}, {"outputPath": ""}):
+        bad = {"network": good["network"] | more}
+        assert isinstance(server.validate(bad), server.Invalid) and server.validate(bad).reason
+        with pytest.raises(ValueError):
+            server.run_job(spark, bad)
+    got = server.run_job(spark, good)
+    assert read_gexf(spark, got["graph"]).vertices.count() == 4 and "export" in got["seconds"]
+
+
+def test_stages_and_lineage(spark, stored, tmp_path):
+    result = run(spark, job(stored, tmp_path, metrics="DEGREE"))
+    assert "vertices: " in result.lineage() and "columns id, " in result.lineage()
+    rows = stages.stage_rows(spark)
+    frame = spark.createDataFrame(rows, stages.SCHEMA)
+    assert frame.where("tasks > 0 and run_ms >= 0").count() == len(rows) > 3
+    assert any(len(r[10]) == 5 and r[10] == sorted(r[10]) for r in rows)
+    assert stages.stage_report(spark).startswith("stage ")
+
+
+def test_a_session_that_is_there_stays(spark):
+    with opened_session("x") as found:
+        assert found is spark
+    assert spark.range(3).count() == 3
+
+
 def test_validation_comes_before_reading(spark, tmp_path):
     with pytest.raises(ConfigError):
         run(spark, job("/nowhere", tmp_path, exporter="Nothing"))
