@@ -155,7 +155,7 @@ class Index:
         keys, shared = np.unique(np.unique(both[kept] * 4096 + place[kept]) // 4096, return_counts=True)
         window, band = keys // span, keys % span
         good = shared >= self.need[window]
-        out = {}
+        regions = []
         for w, b in zip(window[good].tolist(), band[good].tolist()):
             part, e = self.text[w], int(self.edits[w])
             lo = b * self.width - 4096 - e
@@ -166,15 +166,51 @@ class Index:
                 a, z = max(lo, int(offsets[r])), min(hi, int(offsets[r + 1]) - 1)
                 if z - a < len(part) - e:
                     continue
-                found = aligned(part, data[a:z], e)
-                if found:
-                    start, end, edits = found
-                    key = (r, w, a + start - int(offsets[r]))
-                    if key not in out or edits < out[key][1]:
-                        out[key] = (a + end - int(offsets[r]), edits)
+                regions.append((r, w, a, z))
+        out = {}
+        for r, w, a, z in self._possible(data, regions):
+            found = aligned(self.text[w], data[a:z], int(self.edits[w]))
+            if found:
+                start, end, edits = found
+                key = (r, w, a + start - int(offsets[r]))
+                if key not in out or edits < out[key][1]:
+                    out[key] = (a + end - int(offsets[r]), edits)
         return [(r, w, s, e, k) for (r, w, s), (e, k) in out.items()]
 
 
+    def _possible(self, data: np.ndarray, regions: list[tuple[int, int, int, int]], lot: int = 512) -> list[tuple[int, int, int, int]]:
+        """The regions that hold their window within its edits: many alignments side by side, each given up once all its ends are too dear."""
+        out = []
+        for first in range(0, len(regions), lot):
+            some = regions[first : first + lot]
+            size = np.array([len(self.text[w]) for _, w, _, _ in some])
+            budget = self.edits[[w for _, w, _, _ in some]]
+            n = max(z - a for _, _, a, z in some)
+            part, text = np.zeros((len(some), size.max()), np.uint8), np.zeros((len(some), n), np.uint8)
+            for k, (_, w, a, z) in enumerate(some):
+                part[k, : size[k]] = self.text[w]
+                text[k, : z - a] = data[a:z]
+            alive, good, col = np.arange(len(some)), [], np.arange(n + 1, dtype=np.int16)
+            row = np.zeros((len(some), n + 1), np.int16)
+            for i in range(part.shape[1] + 1):
+                over = size[alive] == i
+                if over.any():
+                    good.append(alive[over & (row.min(1) <= budget[alive])])
+                keep = ~over
+                if i % 8 == 7:
+                    keep &= row.min(1) <= budget[alive]
+                if not keep.all():
+                    alive, row = alive[keep], row[keep]
+                if not len(alive):
+                    break
+                new = row + np.int16(1)
+                np.minimum(new[:, 1:], row[:, :-1] + (text[alive] != part[alive, i, None]), out=new[:, 1:])
+                new -= col
+                row = np.minimum.accumulate(new, 1, out=new)
+                row += col
+            out += [some[k] for k in sorted(np.concatenate(good).tolist())] if good else []
+        return out
+
     def joined(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int | None, int, int, int, int]]:
         """(row, item_id, start, end, edits, length) of the passages found: windows of an item that overlap in it and in the text."""
         by: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
