@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-try:  # keep freed blocks of up to 64 MB in the heap: numpy's temporaries then don't fault in new pages each time
-    ctypes.CDLL(None).mallopt(-3, 64 << 20)
-    ctypes.CDLL(None).mallopt(-1, 64 << 20)
+try:  # keep freed blocks of up to 16 MB in the heap: numpy's temporaries then don't fault in new pages each time
+    ctypes.CDLL(None).mallopt(-3, 16 << 20)
+    ctypes.CDLL(None).mallopt(-1, 16 << 20)
 except (OSError, AttributeError):  # another C library
     pass
 

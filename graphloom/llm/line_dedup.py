@@ -126,7 +126,7 @@ def line_counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 h, row = _line_hashes(part.column("text"), s.least)
                 owner = _ids(part.column("doc_id"))[row]
                 order = np.lexsort((owner, h))
@@ -188,7 +188,7 @@ def foreign_lines(docs: DataFrame, folder: str, shards: int, s: Settings = Setti
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 h, row = _line_hashes(part.column("text"), s.least)
                 doc = _ids(part.column("doc_id"))[row]
                 shard = signed(h) % shards
@@ -223,7 +223,7 @@ def rewritten(docs: DataFrame, s: Settings = Settings(), drop_emptied: bool = Fa
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 1 << 20):
                 texts, removed_n, keep = _without(part.column("text"), part.column(gone), s.least)
                 columns = {n: part.column(n) for n in names}
                 columns["text"] = texts

@@ -225,7 +225,7 @@ def features(word: str, stems: tuple[int, ...]) -> list[str]:
 class Judge:
     """Scores texts; `weights` are those of features. Keeps the tokens that it found to be plain and of no weight."""
 
-    most = 400_000
+    most = 200_000
 
     def __init__(self, restorer: Restorer, weights: dict[str, float] | None, bias: float):
         self.restorer, self.weights, self.bias = restorer, weights, bias
