@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..session import cut
+from ..session import renewed
 from .statistics import ranked
 
 
@@ -33,7 +33,7 @@ EXACT = Settings(batch=256, most=None)
 
 def _distances(edges: DataFrame, pivots: DataFrame, s: Settings) -> DataFrame:
     """(pivot, v, dist) by relaxing only what changed in the last superstep."""
-    best = cut(pivots.select(F.col("id").alias("pivot"), F.col("id").alias("v"), F.lit(0).cast("long").alias("dist")))
+    best = renewed(pivots.select(F.col("id").alias("pivot"), F.col("id").alias("v"), F.lit(0).cast("long").alias("dist")))
     front = best
     steps = 0
     while not front.isEmpty():
@@ -42,7 +42,7 @@ def _distances(edges: DataFrame, pivots: DataFrame, s: Settings) -> DataFrame:
         steps += 1
         reached = front.join(edges, front["v"] == edges["src"]).groupBy("pivot", F.col("dst").alias("v")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         both = best.join(reached, ["pivot", "v"], "full").withColumn("changed", F.col("dist").isNull() | (F.col("new") < F.col("dist")))
-        both = cut(both.select("pivot", "v", F.when(F.col("changed"), F.col("new")).otherwise(F.col("dist")).alias("dist"), "changed"))
+        both = renewed(both.select("pivot", "v", F.when(F.col("changed"), F.col("new")).otherwise(F.col("dist")).alias("dist"), "changed"))
         best, front = both.drop("changed"), both.where("changed").drop("changed")
     return best
 
@@ -51,13 +51,13 @@ def _rounds(start: DataFrame, links: DataFrame) -> DataFrame:
     """Σ over j of links^j applied to start (pivot, v, x); links (pivot, a, b, f), which have no cycle, carry x from a to b times f."""
     total, now = start, start
     for k in count(1):
-        now = cut(links.join(now, (links["pivot"] == now["pivot"]) & (links["a"] == now["v"])).groupBy(links["pivot"], F.col("b").alias("v")).agg(F.sum(F.col("x") * F.col("f")).alias("x")))
+        now = renewed(links.join(now, (links["pivot"] == now["pivot"]) & (links["a"] == now["v"])).groupBy(links["pivot"], F.col("b").alias("v")).agg(F.sum(F.col("x") * F.col("f")).alias("x")))
         if now.isEmpty():
             break
         total = total.unionByName(now)
         if k % 8 == 0:
-            total = cut(total)
-    return cut(total.groupBy("pivot", "v").agg(F.sum("x").alias("x")))
+            total = renewed(total)
+    return renewed(total.groupBy("pivot", "v").agg(F.sum("x").alias("x")))
 
 
 def dependencies(graph: Graph, pivots: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -66,11 +66,11 @@ def dependencies(graph: Graph, pivots: DataFrame, s: Settings = Settings()) -> D
     edges = w.where("src <> dst").groupBy("src", "dst").agg(F.min(F.when(F.col("weight") == 0, 1).otherwise(F.col("weight"))).alias("w")).persist()
     dist = _distances(edges, pivots, s)
     ends = dist.select("pivot", F.col("v").alias("dst"), F.col("dist").alias("far"))
-    dag = cut(dist.join(edges, dist["v"] == edges["src"]).join(ends, ["pivot", "dst"]).where("dist + w = far").select("pivot", F.col("v").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("f")))
+    dag = renewed(dist.join(edges, dist["v"] == edges["src"]).join(ends, ["pivot", "dst"]).where("dist + w = far").select("pivot", F.col("v").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("f")))
     edges.unpersist()
     sigma = _rounds(dist.where("dist = 0").select("pivot", "v", F.lit(1.0).alias("x")), dag)
     a, b = (sigma.select("pivot", F.col("v").alias(k), F.col("x").alias(f"s_{k}")) for k in ("a", "b"))
-    back = cut(dag.join(a, ["pivot", "a"]).join(b, ["pivot", "b"]).select("pivot", F.col("b").alias("a"), F.col("a").alias("b"), (F.col("s_a") / F.col("s_b")).alias("f")))
+    back = renewed(dag.join(a, ["pivot", "a"]).join(b, ["pivot", "b"]).select("pivot", F.col("b").alias("a"), F.col("a").alias("b"), (F.col("s_a") / F.col("s_b")).alias("f")))
     ones = sigma.select("pivot", "v", F.lit(1.0).alias("x"))
     all_ = _rounds(ones, back)
     return all_.where("v <> pivot").groupBy(F.col("v").alias("id")).agg((F.sum("x") - F.count("*")).alias("value"))
@@ -78,14 +78,14 @@ def dependencies(graph: Graph, pivots: DataFrame, s: Settings = Settings()) -> D
 
 def betweenness(graph: Graph, s: Settings = Settings()) -> DataFrame:
     """(id, betweennessCentrality), over as many rounds of fresh pivots as the top set needs to settle, or over all vertices."""
-    pivots = cut(ranked(graph.vertices.select(F.xxhash64(F.lit(s.seed), "id").alias("lot"), "id"), "lot").select("id", "rank"))
+    pivots = renewed(ranked(graph.vertices.select(F.xxhash64(F.lit(s.seed), "id").alias("lot"), "id"), "lot").select("id", "rank"))
     used, total, before, vertices = 0, None, None, pivots.count()
     while used < vertices and (s.most is None or used <= s.most):
         batch = pivots.where((F.col("rank") >= used) & (F.col("rank") < used + s.batch)).select("id")
         used += s.batch
         found = dependencies(graph, batch, s)
         total = found if total is None else total.unionByName(found)
-        total = cut(total.groupBy("id").agg(F.sum("value").alias("value")))
+        total = renewed(total.groupBy("id").agg(F.sum("value").alias("value")))
         if s.most is None:
             continue
         top = {r["id"] for r in total.orderBy(F.desc("value"), "id").limit(s.top).collect()}

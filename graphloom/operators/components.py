@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..session import cut
+from ..session import renewed
 
 
 def _star(edges: DataFrame, least: DataFrame, keep_greater: bool) -> DataFrame:
@@ -24,14 +24,14 @@ def connected_pairs(pairs: DataFrame, most: int = 60) -> DataFrame:
     with the logarithm of the longest path. Hubs are split by adaptive execution, as the joins are plain equi-joins.
     """
     edges = pairs.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = renewed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = _star(both, least, True)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut(_star(large, least, False))
+        edges = renewed(_star(large, least, False))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("h"), F.sum("v").alias("s")).head()
         if now == last:
             break
@@ -50,7 +50,7 @@ def components(graph: Graph) -> DataFrame:
 
 def giant_component(graph: Graph) -> Graph:
     """The vertices and edges of the largest component; among equals that of the least id."""
-    found = cut(components(graph))
+    found = renewed(components(graph))
     largest = found.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
     keep = found.join(F.broadcast(largest), "component", "left_semi").select("id")  # one row
     return graph.induced(graph.vertices.join(keep, "id", "left_semi"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..session import cut, observed
+from ..session import cut, observed, renewed
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ class _Level:
         self.pairs = pairs
         self.links = cut(pairs.where("a <> b").select(F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))).alias("x")).select("x.*").repartition("a"))
         ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("v"), "w"), F.struct(F.col("b").alias("v"), "w"))).alias("x")).select("x.*")
-        self.state = cut(ends.groupBy("v").agg(F.sum("w").alias("k")).withColumn("c", F.col("v")))
+        self.state = renewed(ends.groupBy("v").agg(F.sum("w").alias("k")).withColumn("c", F.col("v")))
         self.m2 = float(self.state.agg(F.sum("k").alias("m")).head()["m"] or 0.0)
 
     def quality(self) -> float:
@@ -89,7 +89,7 @@ class _Level:
 
 
 def _louvain(graph: Graph, s: Settings) -> DataFrame:
-    pairs = cut(_undirected(graph, s.use_weight))
+    pairs = renewed(_undirected(graph, s.use_weight))
     track, last = None, None
     while True:
         level = _Level(pairs, s)
@@ -106,14 +106,14 @@ def _louvain(graph: Graph, s: Settings) -> DataFrame:
             break
         last = now
         track = _relabelled(track, level.state)
-        pairs = cut(level.folded())
+        pairs = renewed(level.folded())
     return track if track is not None else graph.vertices.select("id", F.col("id").alias("community"))
 
 
 def _relabelled(track: DataFrame | None, state: DataFrame) -> DataFrame:
     if track is None:
-        return cut(state.select(F.col("v").alias("id"), F.col("c").alias("community")))
-    return cut(track.join(state.select(F.col("v").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
+        return renewed(state.select(F.col("v").alias("id"), F.col("c").alias("community")))
+    return renewed(track.join(state.select(F.col("v").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
 
 
 def _both_ends(edges: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _compat(graph: Graph, s: Settings) -> DataFrame:
     weights to each neighbour, loops counted twice. What the last pass of a level would have moved stays where it is."""
     edges = graph.weights().select(F.col("src").alias("v"), F.col("dst").alias("u"), F.col("weight").alias("w") if s.use_weight else F.lit(1).cast("long").alias("w"))
     track, q = None, -1.0
-    links = cut(_both_ends(edges).groupBy("v", "u").agg(F.sum("w").alias("w")))
+    links = renewed(_both_ends(edges).groupBy("v", "u").agg(F.sum("w").alias("w")))
     while True:
         state, seen = observed(links.groupBy("v").agg(F.sum("w").alias("deg")).withColumn("c", F.col("v")), {"total": F.coalesce(F.sum("deg"), F.lit(0))})
         total = float(seen["total"])
@@ -161,7 +161,7 @@ def _compat(graph: Graph, s: Settings) -> DataFrame:
         pairs = links.join(side, "v").join(side.withColumnsRenamed({"v": "u", "c": "d"}), "u")
         # communities as vertices; of parallel edges with equal weights one is kept
         folded = pairs.select(F.greatest("c", "d").alias("v"), F.least("c", "d").alias("u"), "w").distinct().groupBy("v", "u").agg(F.sum("w").alias("w"))
-        links = cut(_both_ends(folded).groupBy("v", "u").agg(F.sum("w").alias("w")))
+        links = renewed(_both_ends(folded).groupBy("v", "u").agg(F.sum("w").alias("w")))
         # a loop's weight is in `links` twice already
         by = links.groupBy(F.col("v").alias("c")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w"))).alias("i"))
         by = by.crossJoin(F.broadcast(by.agg(F.sum("k").alias("t"))))  # one row
