@@ -215,7 +215,7 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; keeps what it has encoded, up to a bound."""
 
-    most = 400_000
+    most = 800_000
 
     def __init__(self, path: str = MODEL, by_rank: bool = False):
         self.path, self.by_rank, self.vocabulary = path, by_rank, None
