@@ -6,9 +6,10 @@
    place, named by the value there. A bucket of up to `small` sets is searched by brute force. A larger one is split by places
    drawn for it, none of them used above it, if that at least halves the pairs to compare and it lies less than `depth` - 1 splits
    deep; otherwise it is searched block against block, so that no task takes more than two blocks and every pair in it is compared.
+   Where a set goes follows from its sketch and the paths of the split buckets, which tasks are told; sketches aren't shuffled for it.
 3. Runs repeat, and a bucket is split by as many places, until a pair at the threshold has met with probability `recall` in a
    bucket that is searched, even if all buckets above that one were split.
-4. A bucket is first searched by sketches alone. Only the sets that have a candidate there come back with their n-grams, for the
+4. A bucket is first searched by sketches alone, a byte a place. Only the sets that have a candidate there come back with their n-grams, for the
    exact similarity; of the texts without any, no n-gram leaves its task. A pair that meets in several buckets counts in the one
    of the least name, which both sets know, as each carries the names of all its buckets.
 5. Many near copies of one text don't split. In a bucket of them, those within half the allowed distance of its least set form a
@@ -189,41 +190,99 @@ def _with_grams(rows: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     return both.where(F.col("sig").bitwiseXOR(F.col("own")) == 0).drop("own")
 
 
-def _matrix(column: pa.Array, s: Settings) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, s.width)
+def _matrix(column: pa.Array, s: Settings, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, s.width)
 
 
 def _named(path: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
     return mixed(path * np.uint64(0x9E3779B97F4A7C15) + mixed((place.astype(np.uint64) + np.uint64(1) << np.uint64(32)) | value))
 
 
-def _roots(places: list[int], s: Settings):
-    """Emits (path, sig) for the places of the root."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _among(path: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `path` are among sorted paths, and where in these."""
+    at = np.searchsorted(paths, path)
+    hit = np.flatnonzero(at < len(paths))
+    hit = hit[paths[at[hit]] == path[hit]]
+    return hit, at[hit]
+
+
+def _drawn(path: np.ndarray, pool: np.ndarray, n: int, s: Settings) -> np.ndarray:
+    """The places that buckets draw from the pool, which follow from their paths: a row a bucket."""
+    out = [np.zeros((0, n), pool.dtype)]
+    for part in (path[k : k + 4096] for k in range(0, len(path), 4096)):
+        lot = mixed(part[:, None] * np.uint64(0x9E3779B97F4A7C15) + pool.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(s.seed))
+        out.append(pool[np.argsort(lot, 1, kind="stable")[:, :n]])
+    return np.concatenate(out)
+
+
+class _Paths:
+    """The way of a set through the buckets, which follows from its sketch and from what buckets are split: sketches stay where they
+    are, and only the paths travel. splits: for each level the sorted paths of its split buckets, each of which has over `small` sets."""
+
+    def __init__(self, s: Settings):
+        self.s, self.places, self.pools, self.splits = s, np.array(s.places()), s.splits(), []
+        self.each = s.drawn(len(self.pools))
+
+    def levels(self, sketch: np.ndarray, splits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of the sketches, parents and paths at each level, the root's first."""
+        row, place = np.repeat(np.arange(len(sketch)), len(self.places)), np.tile(self.places, len(sketch))
+        parent = np.zeros(len(row), np.uint64)
+        path = _named(parent, place, sketch[row, place])
+        yield row, parent, path
+        for pool, there in zip(self.pools, splits):
+            hit, _ = _among(path, there)
+            place = _drawn(path[hit], pool, self.each, self.s).ravel()
+            row, parent = np.repeat(row[hit], self.each), np.repeat(path[hit], self.each)
+            path = _named(parent, place, sketch[row, place])
+            yield row, parent, path
+
+    def _parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sketch, sig = _matrix(batch.column("sketch"), s), batch.column("sig").to_numpy()
-            row, place = np.repeat(np.arange(len(sig)), len(places)), np.tile(places, len(sig))
-            to = _named(np.zeros(len(row), np.uint64), place, sketch[row, place])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(to)), pa.array(sig[row])], ["path", "sig"])
+            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                yield part, _matrix(part.column("sketch"), self.s)
 
-    return run
+    def last(self, splits: list[np.ndarray]):
+        """Emits (parent, path, sig) of the level below the last of the splits."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, sketch in self._parts(batches):
+                *_, (row, parent, path) = self.levels(sketch, splits)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(parent)), pa.array(signed(path)), part.column("sig").take(pa.array(row))], ["parent", "path", "sig"])
+
+        return run
 
+    def offers(self, paths: np.ndarray, leaders: np.ndarray):
+        """Emits (sig, leader, sketch), once for each leader whose bucket, of those with these sorted paths, a set is in."""
+        splits = self.splits
 
-def _children(pool: np.ndarray, drawn: int, s: Settings):
-    """Emits (parent, path, sig) for the places that a bucket draws from the pool; they follow from its path."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, sketch in self._parts(batches):
+                found = []
+                for row, _, path in self.levels(sketch, splits):
+                    hit, at = _among(path, paths)
+                    found.append(np.stack([row[hit], leaders[at]]))
+                row, leader = np.unique(np.concatenate(found, 1), axis=1)
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("sig").take(row), pa.array(leader), part.column("sketch").take(row)], ["sig", "leader", "sketch"])
+
+        return run
+
+
+def _sorted_paths(rows: DataFrame) -> np.ndarray:
+    """The paths of large buckets: at most one for each `small` rows."""
+    return np.sort(rows.select("path").distinct().toArrow()["path"].to_numpy().view(np.uint64))
+
+
+def _short(s: Settings):
+    """Sketches with the low byte of each place. What agrees in a place still does, so that a search by them misses no candidate that
+    whole sketches have; one in 256 of the other places agrees too, and the exact similarity tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
-                sketch, sig, path = _matrix(part.column("sketch"), s), part.column("sig").to_numpy(), part.column("path").to_numpy().view(np.uint64)
-                lot = mixed(path[:, None] * np.uint64(0x9E3779B97F4A7C15) + pool.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(s.seed))
-                place = pool[np.argsort(lot, 1, kind="stable")[:, :drawn]].ravel()
-                row = np.repeat(np.arange(len(sig)), drawn)
-                to = _named(path[row], place, sketch[row, place])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(path[row])), pa.array(signed(to)), pa.array(sig[row])], ["parent", "path", "sig"])
+            if batch.num_rows:
+                low = _matrix(batch.column("sketch"), s).astype(np.uint8)
+                at = batch.schema.get_field_index("sketch")
+                yield batch.set_column(at, "sketch", pa.array([x.tobytes() for x in low], pa.binary()))
 
     return run
 
@@ -234,7 +293,7 @@ class _Bucket:
     def __init__(self, t: pa.Table, s: Settings):
         self.s, self.lowest = s, s.threshold - 4 * (s.threshold * (1 - s.threshold) / s.width) ** 0.5
         self.sig, self.rep, self.side, self.size, self.copies, self.ball = (t[c].to_numpy() for c in ("sig", "rep", "side", "size", "copies", "ball"))
-        self.sketch, self.leaf = _matrix(t["sketch"], s), int(t["leaf"][0].as_py())
+        self.sketch, self.leaf = _matrix(t["sketch"], s, np.uint8), int(t["leaf"][0].as_py())
         leaves = t["leaves"].combine_chunks()
         row = np.repeat(np.arange(len(leaves)), pc.list_value_length(leaves).to_numpy())
         name = leaves.flatten().to_numpy()
@@ -401,11 +460,13 @@ class Join:
 
     def __init__(self, docs: DataFrame, s: Settings = Settings(), balls: bool = True):
         self.docs, self.s, self.spark, self.folders = docs, s, docs.sparkSession, []
-        sets = self._kept(set_sketches(docs, s), "set-sketches")
+        sets, folder = written(set_sketches(docs, s), "set-sketches")
         self.nodes = self._kept(sets.select("doc_id", "sig").distinct(), "nodes")
         known = sets.where("sig is not null")
         copies = self.nodes.where("sig is not null").groupBy("sig").agg(F.count("*").alias("copies"))
         self.sets = self._kept(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).join(copies, "sig"), "distinct-sets")
+        removed(self.spark, folder)
+        self.paths = _Paths(s)
         self.leaves, self.blocks = self._buckets()
         self.balls = self._balls() if balls and self.blocks is not None else None
 
@@ -420,27 +481,27 @@ class Join:
 
     def _buckets(self) -> tuple[DataFrame, DataFrame | None]:
         """(leaf, sig) of the buckets that are searched whole, and (path, sig) of those searched in blocks, if any."""
-        s, sketches = self.s, self.sets.select("sig", "sketch")
-        pools = s.splits()
-        drawn = s.drawn(len(pools))
+        s, sketches, to = self.s, self.sets.select("sig", "sketch"), self.paths
+        fields = "parent long, path long, sig long"
         leaves, blocks = [], []
-        rows = sketches.mapInArrow(_roots(s.places(), s), "path long, sig long")
-        for level in range(len(pools) + 1):
+        rows = sketches.mapInArrow(to.last([]), fields).select("path", "sig")
+        for level in range(len(to.pools) + 1):
             count = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
             rows = cut(rows.join(count, "path"))
             leaves.append(rows.where(F.col("m") <= s.small).select(F.col("path").alias("leaf"), "sig"))
             large = rows.where(F.col("m") > s.small)
             if large.isEmpty():
                 break
-            if level == len(pools):
+            if level == len(to.pools):
                 blocks.append(large.select("path", "sig"))
                 break
-            below = cut(large.select("path", "sig").join(sketches, "sig").select("path", "sig", "sketch").mapInArrow(_children(pools[level], drawn, s), "parent long, path long, sig long"))
+            below = cut(sketches.mapInArrow(to.last([*to.splits, _sorted_paths(large)]), fields))
             work = below.groupBy("parent", "path").agg(F.count("*").cast("double").alias("c")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
             split = cut(large.groupBy("path").agg(F.first("m").cast("double").alias("m")).join(work.withColumnRenamed("parent", "path"), "path").where("2 * work <= m * m").select("path"))
             blocks.append(large.join(split, "path", "left_anti").select("path", "sig"))
             if split.isEmpty():
                 break
+            to.splits.append(_sorted_paths(split))
             rows = below.join(split.withColumnRenamed("path", "parent"), "parent", "left_semi").select("path", "sig")
         whole = cut(_once(reduce(DataFrame.unionByName, leaves)))
         if not blocks:
@@ -452,10 +513,12 @@ class Join:
         """(sig, ball): sets of unsplit large buckets and the leader to whose ball they belong, if any. A set goes to the leader whose
         sketch is most like its own, and is then compared with it."""
         s = self.s
-        leaders = self.blocks.groupBy("path").agg(F.min("sig").alias("leader"))
-        offers = self.blocks.join(leaders, "path").select("sig", "leader").distinct()
-        sketches = self.sets.select("sig", "sketch")
-        seen = offers.join(sketches, "sig").join(sketches.withColumnsRenamed({"sig": "leader", "sketch": "l_sketch"}), "leader")
+        leaders = self.blocks.groupBy("path").agg(F.min("sig").alias("leader")).toArrow()
+        paths, leader = leaders["path"].to_numpy().view(np.uint64), leaders["leader"].to_numpy()
+        order = np.argsort(paths)
+        offers = self.sets.select("sig", "sketch").mapInArrow(self.paths.offers(paths[order], leader[order]), "sig long, leader long, sketch binary")
+        heads = offers.where("sig = leader").select("leader", F.col("sketch").alias("l_sketch"))
+        seen = offers.join(heads, "leader")
         best = cut(seen.select("sig", "leader", "sketch", "l_sketch").mapInArrow(_alike(s), "sig long, leader long, agree int").groupBy("sig").agg(F.max_by("leader", F.struct("agree", "leader")).alias("leader")))
         size = best.groupBy("leader").agg(F.ceil(F.count("*") / s.small).cast("int").alias("parts"))
         members = best.where("sig <> leader").join(size, "leader").select("leader", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "sig")
@@ -494,7 +557,8 @@ class Join:
         s = self.s
         member = self.leaves if self.blocks is None else self.leaves.unionByName(self.blocks.select(F.col("path").alias("leaf"), "sig"))
         leaves = member.groupBy("sig").agg(F.collect_set("leaf").alias("leaves"))
-        known = self.sets.join(leaves, "sig").select("sig", "rep", "size", "copies", "sketch", "leaves")
+        short = self.sets.mapInArrow(_short(s), self.sets.schema)
+        known = short.join(leaves, "sig").select("sig", "rep", "size", "copies", "sketch", "leaves")
         fields = "bucket long, leaf long, side int, sig long, ball long, rep long, size int, copies long, sketch binary, leaves array<long>"
         names = [f.split()[0] for f in fields.split(", ")]
         rows = self._units().join(known, "sig").select(*names)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard
+from graphloom.plans.stages import stage_rows
 
 from .util import ODD, rows, table
 
@@ -123,6 +124,23 @@ def test_split_buckets_keep_the_recall(spark):
     assert len(got) >= 0.98 * len(want) > 0
 
 
+def test_splits_and_balls_shuffle_no_sketches(spark):
+    """Only to tell distinct sets are all sketches shuffled, though some buckets are split and others searched in blocks."""
+    n, s = 3000, jaccard.Settings(small=100)
+    docs = [(k, " ".join([f"h{j}" for j in range(4)] + [f"t{k}-{j}" for j in range(18)])) for k in range(n)] + [(n + k, t) for k, t in cored(300)]
+    seen, held = max([r[0] for r in stage_rows(spark)], default=-1), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        join = jaccard.Join(table(spark, docs), s)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    wrote = [r[8] for r in stage_rows(spark) if r[0] > seen]
+    assert join.balls is not None
+    join.close()
+    assert sum(b >= 4 * s.width * n for b in wrote) == 1, sorted(wrote)[-8:]
+
+
 @pytest.mark.parametrize("s", [jaccard.Settings(), jaccard.Settings(depth=2), jaccard.Settings(threshold=0.7), jaccard.Settings(width=16)])
 def test_splits_leave_the_recall(s):
     pools = s.splits()
