@@ -98,3 +98,9 @@ def test_long_paths_take_no_job_a_step(spark):
     assert found == {k: float(k * (150 - k)) for k in range(151)} and n < 60
     with pytest.raises(Exception, match="more than 20 edges"):
         bc.betweenness(g, bc.Settings(supersteps=20))
+
+
+def test_highest_of_equal_values(spark, monkeypatch):
+    """Sums in another order differ in their last digits; of equal values the least ids are taken."""
+    monkeypatch.setattr(bc, "betweenness", lambda g, s: spark.createDataFrame([(3, 0.1 + 0.2), (2, 0.3), (1, 0.2)], "id long, betweennessCentrality double"))
+    assert [r.id for r in bc.high_betweenness_set(None, bc.Settings(top=1)).collect()] == [2]
