@@ -2,7 +2,7 @@
 
 Vertices are numbered from 0; edges (s, t, w) lie in files by ranges of one end, some EDGES of them in each. A task reads the files it
 needs through Arrow's file systems, so neither edges nor what belongs to them passes through the driver. What is held of a graph grows
-with it, so callers state a bound (`fits`) and have another way beyond it.
+with it, so callers state a bound and have another way beyond it.
 """
 
 from __future__ import annotations
@@ -116,6 +116,13 @@ def over(spark: SparkSession, items: Iterable[A], work: Callable[[A], B]) -> lis
     return spark.sparkContext.parallelize(found, len(found)).map(work).collect() if found else []
 
 
+def looked_up(batches: Iterator[pa.RecordBatch], values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(n, x): numbers of vertices and their values."""
+    for b in batches:
+        n = b.column("n").to_numpy()
+        yield pa.RecordBatch.from_pydict({"n": b.column("n"), "x": pa.array(values[n])})
+
+
 @dataclass
 class Rows:
     """A graph's edges by source: those of s are t[start[s] : start[s + 1]] with weights w."""

@@ -9,7 +9,7 @@ import pytest
 
 from graphloom.graph import Graph
 from graphloom.operators import betweenness as bc
-from graphloom.operators import packed
+from graphloom.operators import centrality, packed
 
 
 def graph(spark, edges, more=(), less=()):
@@ -104,3 +104,33 @@ def test_highest_of_equal_values(spark, monkeypatch):
     """Sums in another order differ in their last digits; of equal values the least ids are taken."""
     monkeypatch.setattr(bc, "betweenness", lambda g, s: spark.createDataFrame([(3, 0.1 + 0.2), (2, 0.3), (1, 0.2)], "id long, betweennessCentrality double"))
     assert [r.id for r in bc.high_betweenness_set(None, bc.Settings(top=1)).collect()] == [2]
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_eigenvector_like_its_rows(spark, monkeypatch, directed):
+    """Arrays in several files, rows with and without hubs, plain Python."""
+    monkeypatch.setattr(packed, "EDGES", 40)
+    edges = drawn(6, 30, 120)
+    g = graph(spark, edges, [9999])
+    both = edges + [(b, a, w) for a, b, w in edges] * (not directed)
+    sums = {v: 0.0 for e in edges for v in e[:2]}
+    hold = dict.fromkeys(sums, 1.0)
+    for _ in range(4):
+        for a, b, _ in both:
+            sums[b] += hold[a]
+        hold = {v: x / max(sums.values()) for v, x in sums.items()}
+    want = pytest.approx(hold | {9999: 0.0})
+    assert by_id(centrality.eigenvector(g, 4, directed), "eigenCentrality") == want
+    for hub in (2, 10**6):
+        assert by_id(centrality.eigenvector(g, 4, directed, hub, held=0), "eigenCentrality") == want
+
+
+def test_a_round_of_powers_takes_one_small_job(spark):
+    g = graph(spark, drawn(7, 20, 60))
+    few, more = (jobs(spark, f"powers{n}", lambda n=n: centrality.eigenvector(g, n).collect())[1] for n in (2, 12))
+    assert more - few <= 10
+
+
+def test_eigenvector_of_no_edges(spark):
+    g = Graph(spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([], "src long, dst long, weight long"))
+    assert by_id(centrality.eigenvector(g), "eigenCentrality") == {1: 0.0, 2: 0.0}
