@@ -1,4 +1,4 @@
-"""Graphs stored as GEXF, read by Spark's XML source with a given schema."""
+"""Graphs stored as GEXF, cut into elements side by side and parsed with a given schema."""
 
 from __future__ import annotations
 
@@ -41,17 +41,39 @@ def metrics_found(nodes: DataFrame) -> list[str]:
     return [c for c in METRICS if c in found]
 
 
-def read_gexf(spark: SparkSession, path: str) -> Graph:
+_CORRUPT = "_corrupt_record"
+_FORMAT = "org.apache.spark.sql.execution.datasources.xml.XmlInputFormat"
+
+
+def _hides_tags(spark: SparkSession, path: str) -> bool:
+    """Whether a file has comments or unparsed text, in which tags are no elements."""
+    heads = spark.read.option("lineSep", "<").text(path).where(F.col("value").startswith("!--") | F.col("value").startswith("![CDATA["))
+    return not heads.isEmpty()
+
+
+def _elements(spark: SparkSession, path: str, tag: str, kind: T.StructType, whole: bool, split: int) -> DataFrame:
+    """The elements of a tag, malformed ones left out. Spark's XML source reads a file of many lines in one task, so ranges of the file are
+    searched for elements instead, unless it has to be read as a whole to tell them."""
+    if whole:
+        return spark.read.format("xml").option("mode", "DROPMALFORMED").option("rowTag", tag).schema(kind).load(path)
+    conf = {"xmlinput.start": f"<{tag}>", "xmlinput.end": f"</{tag}>", "xmlinput.encoding": "UTF-8", "mapreduce.input.fileinputformat.split.maxsize": str(split)}
+    texts = spark.sparkContext.newAPIHadoopFile(path, _FORMAT, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text", conf=conf).values().map(lambda text: (text,))
+    rows = spark.createDataFrame(texts, "value string", verifySchema=False)
+    read = rows.select(F.from_xml("value", T.StructType([*kind, T.StructField(_CORRUPT, T.StringType())]), {"mode": "PERMISSIVE"}).alias("x"))
+    return read.where(f"x.{_CORRUPT} is null").select(*(f"x.{n}" for n in kind.fieldNames()))
+
+
+def read_gexf(spark: SparkSession, path: str, split: int = 32 << 20) -> Graph:
     """Vertices with their attributes and whatever metrics the file has; an edge without a weight has 1."""
-    reader = spark.read.format("xml").option("mode", "DROPMALFORMED")
-    nodes = _map(reader.option("rowTag", "node").schema(NODE).load(path))
+    whole = _hides_tags(spark, path)
+    nodes = _map(_elements(spark, path, "node", NODE, whole, split))
     kept = metrics_found(nodes)
     fields = {column: _get(name) for name, column in VERTEX_ATTRIBUTES.items()}
     shown = [(read_date(c) if n in _DATES else F.expr(f"try_cast(a['{k}'] as {_NUMBERS[n]})") if n in _NUMBERS else c).alias(n) for k, (n, c) in zip(VERTEX_ATTRIBUTES, fields.items())]
     scores = [F.expr(f"try_cast(coalesce(try_element_at(a, '{m.upper()}'), try_element_at(a, '{m}')) as {METRICS[m].simpleString()})").alias(m) for m in kept]
     vertices = nodes.where("_id is not null").select(F.col("_id").alias("id"), *shown, F.lit(False).alias("parentData"), *scores)
 
-    edges = _map(reader.option("rowTag", "edge").schema(EDGE).load(path)).where("_source is not null and _target is not null")
+    edges = _map(_elements(spark, path, "edge", EDGE, whole, split)).where("_source is not null and _target is not null")
     links = _get("LINKS")
     edges = edges.select(
         F.col("_source").alias("src"), F.col("_target").alias("dst"), F.coalesce("_weight", F.lit(1).cast("long")).alias("weight"),
