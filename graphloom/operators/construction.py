@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,27 +33,36 @@ def ego_items(raw: DataFrame) -> DataFrame:
     return raw.select(*author_columns(), people["mention"].alias("mentions"), people["reply"].alias("replies"))
 
 
-def _vertex(items: DataFrame, of: dict[str, Column], parent: bool) -> DataFrame:
-    none = F.lit(None)
-    kinds = {"id": "long", "nickName": "string", "activity": "long", "rating": "long", "country": "string", "location": "string", "webSite": "string", "first": "long", "last": "long", "urls": "array<bigint>", "hosts": "array<string>", "order": "long"}
-    return items.select(*(of.get(c, none).cast(t).alias(c) for c, t in kinds.items()), F.lit(parent).alias("parentData"))
+_KINDS = {"id": "long", "nickName": "string", "activity": "long", "rating": "long", "country": "string", "location": "string", "webSite": "string", "first": "long", "last": "long", "urls": "array<bigint>", "hosts": "array<string>", "order": "long"}
 
 
-def author_vertices(items: DataFrame) -> DataFrame:
-    """A row for each author of a document and each author of a document's parent, not yet merged."""
+def _vertex(of: dict[str, Column], parent: bool) -> Column:
+    return F.struct(*(of.get(c, F.lit(None)).cast(t).alias(c) for c, t in _KINDS.items()), F.lit(parent).alias("parentData"))
+
+
+def _author_rows() -> list[Column]:
     own = {"id": F.col("nickId"), "first": F.col("date"), "last": F.col("date"), "order": F.col("itemId")} | {c: F.col(c) for c in (*_ATTRIBUTES, "urls", "hosts")}
     parents = {"id": F.col("parentNickId"), "nickName": F.col("parentNickName"), "activity": F.col("parentActivity"), "rating": F.col("parentRating"), "first": F.col("parentDate"), "last": F.col("parentDate"), "order": F.col("itemId")}
-    return _vertex(items, own, False).unionByName(_vertex(items.where("parentId > 0"), parents, True))
+    return [F.array(_vertex(own, False)), F.when(F.col("parentId") > 0, F.array(_vertex(parents, True)))]
+
+
+def _all_of(items: DataFrame, arrays: list[Column], *columns: Column) -> DataFrame:
+    """Columns of the items and, in x, each element of the arrays, absent ones left out; a single pass over the items."""
+    return items.select(*columns, F.explode(F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))).alias("x"))
+
+
+def author_vertices(items: DataFrame) -> DataFrame:
+    """A row for each author of a document and each author of a document's parent, not yet merged."""
+    return _all_of(items, _author_rows()).select("x.*")
 
 
 def ego_vertices(items: DataFrame) -> DataFrame:
     """As `author_vertices`, and a row for each person mentioned or replied to; these have no dates."""
-    rows = author_vertices(items)
-    for column in ("mentions", "replies"):
-        named = items.select("itemId", F.explode(column).alias("p"))
-        person = {"id": F.col("p.authorId"), "nickName": F.col("p.authorName"), "activity": F.col("p.authorActivity"), "rating": F.col("p.authorRating"), "order": F.col("itemId")}
-        rows = rows.unionByName(_vertex(named, person, True))
-    return rows
+
+    def person(p: Column) -> Column:
+        return _vertex({"id": p["authorId"], "nickName": p["authorName"], "activity": p["authorActivity"], "rating": p["authorRating"], "order": F.col("itemId")}, True)
+
+    return _all_of(items, [*_author_rows(), *(F.transform(c, person) for c in ("mentions", "replies"))]).select("x.*")
 
 
 def merged_vertices(rows: DataFrame) -> DataFrame:
@@ -70,17 +77,18 @@ def merged_vertices(rows: DataFrame) -> DataFrame:
 
 def author_edges(items: DataFrame) -> DataFrame:
     """An edge from the author of each answer to the author of what it answers."""
-    return _edges(items.where("parentId > 0"), F.col("parentNickId"))
+    return _edges(items, [])
 
 
-def _edges(items: DataFrame, to: Column) -> DataFrame:
-    return items.select(F.col("nickId").alias("src"), to.alias("dst"), F.lit(1).cast("long").alias("weight"), "body", "link", "date", F.col("itemId").alias("order"))
+def _edges(items: DataFrame, more: list[Column]) -> DataFrame:
+    answered = F.when(F.col("parentId") > 0, F.array("parentNickId"))
+    columns = F.col("nickId").alias("src"), F.lit(1).cast("long").alias("weight"), F.col("body"), F.col("link"), F.col("date"), F.col("itemId").alias("order")
+    return _all_of(items, [answered, *more], *columns).select("src", F.col("x").alias("dst"), "weight", "body", "link", "date", "order")
 
 
 def ego_edges(items: DataFrame) -> DataFrame:
     """As `author_edges`, and edges to those whom a document mentions or replies to."""
-    named = [items.withColumn("p", F.explode(c)) for c in ("mentions", "replies")]
-    return reduce(DataFrame.unionByName, [author_edges(items), *(_edges(n, F.col("p.authorId")) for n in named)])
+    return _edges(items, [F.transform(c, lambda p: p["authorId"]) for c in ("mentions", "replies")])
 
 
 def merged_edges(rows: DataFrame) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..graph import Graph
 from ..operators.construction import merged_edges
-from ..operators.statistics import ranked
 from ..schemas import ITEMS
 from ..session import cut
 
 _SHIFT = 1_000_000_000
+#: Events of a range that one task goes through.
+_RANGE = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +45,19 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event with the one before it. The order of all events is found range by range (see `statistics.ranked`), then pairs are
-    formed by an equi-join on the rank, so that no task sees all events."""
+    """Each event with the one before it. Ranges of the order of all events are gone through side by side, so that no task sees all events;
+    the first event of a range takes the last one of the range before."""
     events = table(spark, sf_dir, "events")
-    e = ranked(events.select("event_id", "ts", millis(events, "ts").alias("ms"), "user_id", "event_type"), "ts", "event_id")
-    before = e.select((F.col("rank") + 1).alias("rank"), F.col("event_id").alias("p_event"), F.col("user_id").alias("p_user"), F.col("ms").alias("p_ms"))
-    return e.join(before, "rank", "left")
+    e = events.select("event_id", "ts", millis(events, "ts").alias("ms"), "user_id", "event_type")
+    parts = max(1, -(-events.count() // _RANGE))
+    placed = cut(e.repartitionByRange(parts, "ts", "event_id").withColumn("_part", F.spark_partition_id())).repartition(parts, "_part")
+    kept = F.struct(F.col("event_id").alias("p_event"), F.col("user_id").alias("p_user"), F.col("ms").alias("p_ms"))
+    last = placed.groupBy("_part").agg(F.max_by(kept, F.struct("ts", "event_id")).alias("_last"))
+    # a row for each range
+    carried = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carried"))
+    within = F.lag(kept).over(Window.partitionBy("_part").orderBy("ts", "event_id"))
+    pairs = placed.withColumn("_before", within).join(F.broadcast(carried), "_part").withColumn("_before", F.coalesce("_before", "_carried"))
+    return pairs.select("event_id", "ts", "ms", "user_id", "event_type", *(F.col(f"_before.{c}").alias(c) for c in ("p_event", "p_user", "p_ms")))
 
 
 def flow(spark: SparkSession, sf_dir: str) -> Graph:

@@ -313,9 +313,10 @@ def betweenness_of_samples(spark, sf_dir):
 
 
 def _stored(spark, sf_dir) -> Graph:
+    """Its vertices and edges are merged once, though metrics are taken of them too."""
     network = EgoNetwork().build(adapters.event_items(spark, sf_dir))
-    g = computed(network, ["DEGREES", "COMPONENT"], _config())
-    return g.with_(vertices=cut(g.vertices), edges=cut(g.edges))
+    g = computed(network.with_(vertices=cut(network.vertices), edges=cut(network.edges)), ["DEGREES", "COMPONENT"], _config())
+    return g.with_(vertices=cut(g.vertices))
 
 
 def _back(spark: SparkSession, name: str, read: Callable[[str], DataFrame]) -> DataFrame:
