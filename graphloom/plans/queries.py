@@ -101,10 +101,11 @@ def partitioned_edges(spark, sf_dir):
     """For each strategy over four partitions: edges and weight, and whether all edges of a key lie in as few partitions as they should."""
     edges = cut(adapters.flow(spark, sf_dir).edges)
     keys = {"CanonicalRandomVertexCut": (["least(src, dst)", "greatest(src, dst)"], 1), "RandomVertexCut": (["src", "dst"], 1), "EdgePartition1D": (["src"], 1), "EdgePartition2D": (["src"], 2)}
-    frames = []
+    frames, tasks = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
     for s in partition.STRATEGIES:
         key, most = keys[s]
         placed = partition.partitioned(edges, s, 4).withColumn("part", F.spark_partition_id())
+        placed = placed.repartition(tasks, *(F.expr(k) for k in key))  # a quarter of all edges is too much to aggregate in one task
         by = placed.groupBy(*(F.expr(k).alias(f"k{i}") for i, k in enumerate(key))).agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"), F.sum("weight").alias("w"))
         frames.append(by.agg(F.lit(s).alias("strategy"), F.sum("n").alias("edges"), F.sum("w").alias("weight"), (F.max("parts") <= most).alias("together")))
     return statistics.union_all(frames)

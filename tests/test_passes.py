@@ -57,3 +57,12 @@ def test_a_stored_graph_is_merged_once(spark, sf_dir, monkeypatch):
     taken = checkpoints(monkeypatch, q)
     q._stored(spark, sf_dir)
     assert [("id" in columns, "degree" in columns) for columns in taken] == [(True, False), (False, False), (True, True)]
+
+
+def test_partitions_are_aggregated_in_many_tasks(spark, sf_dir):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 6)
+    try:
+        assert plan(q.partitioned_edges(spark, sf_dir)).count("REPARTITION_BY_NUM") == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
