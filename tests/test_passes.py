@@ -66,3 +66,9 @@ def test_partitions_are_aggregated_in_many_tasks(spark, sf_dir):
         assert plan(q.partitioned_edges(spark, sf_dir)).count("REPARTITION_BY_NUM") == 8
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name", ["dangling_ends", "drop_isolated"])
+def test_ends_need_no_merged_edges(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(adapters, "merged_edges", None)
+    assert q.queries()[name](spark, sf_dir).count() > 0
