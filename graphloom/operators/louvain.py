@@ -12,13 +12,16 @@ edges keeps each vertex alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..session import cut, observed, renewed
+from ..session import cut, observed, removed, renewed, scratch_path
+from . import packed
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,7 @@ class Settings:
     resolution: float = 1.0
     increase: float = 0.001
     iterations: int = 30
+    held: int = 4_000_000  # vertices of a level whose state is arrays, which tasks hold and the driver puts together; rows beyond it
 
 
 def _undirected(graph: Graph, use_weight: bool) -> DataFrame:
@@ -50,6 +54,110 @@ def modularity_score(graph: Graph, labels: DataFrame, use_weight: bool = True, r
     return by.crossJoin(F.broadcast(total)).agg(F.coalesce(F.sum(resolution * 2 * F.col("inside") / F.col("m2") - F.pow(F.col("k") / F.col("m2"), 2)), F.lit(0.0)).alias("q"))  # the total is one row
 
 
+class _Passes:
+    """Links (s, t, w) in files for the passes of a level: all links of a vertex lie in one file, vertices are numbered in the order of
+    their ids. A pass is one job without a shuffle: tasks read the state of all vertices and give the new communities of theirs."""
+
+    def __init__(self, links: DataFrame, ids: DataFrame):
+        self.spark = links.sparkSession
+        self.ids = packed.numbered(ids.select(F.col("id").alias("lot"), "id"))
+        self.vertices = self.ids.count()
+        sides = {e: self.ids.select(F.col("id").alias(e), F.col("n").alias(k)) for e, k in (("from", "s"), ("to", "t"))}
+        coded = renewed(links.toDF("from", "to", "w").join(sides["from"], "from").join(sides["to"], "to").select("s", "t", "w"))
+        self.files = packed.packed(coded, self.vertices, ("s",), coded.count())
+        self.folder, self.n = scratch_path(self.spark, "passes"), 0
+
+    def over(self, work: Callable, *state: np.ndarray) -> list:
+        """What work(s, t, w, *state) gives for each file, with arrays by vertex of 8 bytes each."""
+        files, vertices, now, kinds = self.files, self.vertices, f"{self.folder}/{self.n}", [a.dtype for a in state]
+        self.n += 1
+        packed.save(now, *state)
+
+        def share(k: int):
+            data = packed.kept(now, lambda: packed.load(now))
+            return work(*files.read(k), *(np.frombuffer(data, d, vertices, 8 * vertices * i) for i, d in enumerate(kinds)))
+
+        found = packed.over(self.spark, range(len(files.counts)), share)
+        removed(self.spark, now)
+        return found
+
+    def state(self, communities: np.ndarray) -> DataFrame:
+        """(v, c) of the vertices."""
+        now = f"{self.folder}/state"
+        packed.save(now, communities)
+        numbers = self.spark.range(0, self.vertices, 1, max(1, -(-self.vertices // packed.EDGES))).select(F.col("id").alias("n"))
+        found = numbers.mapInArrow(lambda batches: packed.looked_up(batches, packed.kept(now, lambda: np.frombuffer(packed.load(now), np.int64))), "n long, x long")
+        of = self.ids.select(F.col("id").alias("c"), F.col("n").alias("x"))
+        return renewed(found.join(self.ids, "n").join(of, "x").select(F.col("id").alias("v"), "c"))
+
+    def close(self) -> None:
+        removed(self.spark, self.folder)
+        packed.dropped(self.spark, self.files)
+
+
+def _last(groups: np.ndarray) -> np.ndarray:
+    """Where a run of equal numbers ends."""
+    return np.flatnonzero(np.append(groups[1:] != groups[:-1], True)) if len(groups) else np.zeros(0, np.int64)
+
+
+class _Arrays:
+    """A level as `_Level`, with its state in arrays."""
+
+    def __init__(self, pairs: DataFrame, ids: DataFrame, s: Settings):
+        self.s, self.pairs = s, pairs
+        w = F.col("w").cast("long")
+        both = F.explode(F.array(F.struct(F.col("a").alias("f"), F.col("b").alias("t"), w.alias("w")), F.struct(F.col("b").alias("f"), F.col("a").alias("t"), w.alias("w"))))
+        # a loop counts at both of its ends; here too it is there twice
+        self.passes = _Passes(pairs.select(both.alias("x")).select("x.*").groupBy("f", "t").agg(F.sum("w").alias("w")), ids)
+        self.c = np.arange(self.passes.vertices)
+        self.k = np.zeros(self.passes.vertices)
+        for low, k in self.passes.over(_degrees):
+            self.k[low : low + len(k)] += k
+        self.m2 = float(self.k.sum())
+
+    def quality(self) -> float:
+        inner = sum(self.passes.over(lambda s, t, w, c: int(w[c[s] == c[t]].sum()), self.c))
+        return self.s.resolution * inner / self.m2 - float(((np.bincount(self.c, self.k) / self.m2) ** 2).sum())
+
+    def move(self, even: bool) -> int:
+        resolution, m2 = self.s.resolution, self.m2
+
+        def best(s, t, w, c, k, total):
+            apart = s != t
+            s, w, to = s[apart].astype(np.int64), w[apart].astype(float), c[t[apart]]
+            own = np.unique(s)
+            s, to, w = np.concatenate([s, own]), np.concatenate([to, c[own]]), np.concatenate([w, np.zeros(len(own))])
+            order = np.lexsort((to, s))
+            s, to, w = s[order], to[order], w[order]
+            last = np.flatnonzero(np.append((s[1:] != s[:-1]) | (to[1:] != to[:-1]), True)) if len(s) else np.zeros(0, np.int64)
+            w = np.diff(np.cumsum(w)[last], prepend=0.0)
+            s, to = s[last], to[last]
+            stays = to == c[s]
+            gain = np.round(resolution * w - k[s] * (total[to] - np.where(stays, k[s], 0.0)) / m2, 9)
+            order = np.lexsort((to, stays, gain, s))
+            last = order[_last(s[order])]
+            v, to = s[last], to[last]
+            goes = to < c[v] if even else to > c[v]
+            return v[goes], to[goes]
+
+        new, moved = self.c.copy(), 0
+        for v, to in self.passes.over(best, self.c, self.k, np.bincount(self.c, self.k, len(self.c))):
+            new[v] = to
+            moved += len(v)
+        self.c = new
+        return moved
+
+    def close(self) -> DataFrame:
+        """The state (v, c), when there are no more passes."""
+        found = self.passes.state(self.c)
+        self.passes.close()
+        return found
+
+
+def _degrees(s: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray]:
+    return int(s[0]), np.bincount(s - s[0], w)
+
+
 class _Level:
     """One level: vertices (v, c, k) with weighted degree k, and links between different vertices in both directions."""
 
@@ -82,17 +190,25 @@ class _Level:
         self.state = new.drop("moved")
         return seen["moved"]
 
-    def folded(self) -> DataFrame:
-        """The pairs of the next level: communities as vertices, inner weights as loops."""
-        side = self.state.select("v", "c")
-        return self.pairs.join(side.withColumnsRenamed({"v": "a", "c": "ca"}), "a").join(side.withColumnsRenamed({"v": "b", "c": "cb"}), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
+    def close(self) -> DataFrame:
+        return self.state.select("v", "c")
+
+
+def _level(pairs: DataFrame, s: Settings) -> _Level | _Arrays:
+    ids = renewed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return _Arrays(pairs, ids, s) if 0 < ids.count() <= s.held else _Level(pairs, s)
+
+
+def _folded(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """The pairs of the next level: communities as vertices, inner weights as loops."""
+    return pairs.join(side.withColumnsRenamed({"v": "a", "c": "ca"}), "a").join(side.withColumnsRenamed({"v": "b", "c": "cb"}), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
 
 
 def _louvain(graph: Graph, s: Settings) -> DataFrame:
     pairs = renewed(_undirected(graph, s.use_weight))
     track, last = None, None
     while True:
-        level = _Level(pairs, s)
+        level = _level(pairs, s)
         if not level.m2:
             break
         if last is None:
@@ -102,11 +218,12 @@ def _louvain(graph: Graph, s: Settings) -> DataFrame:
             quiet = quiet + 1 if level.move(n % 2 == 0) < s.min_updates else 0
             n += 1
         now = level.quality()
+        state = level.close()
         if now <= last + s.increase:
             break
         last = now
-        track = _relabelled(track, level.state)
-        pairs = renewed(level.folded())
+        track = _relabelled(track, state)
+        pairs = renewed(_folded(pairs, state))
     return track if track is not None else graph.vertices.select("id", F.col("id").alias("community"))
 
 
