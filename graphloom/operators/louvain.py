@@ -210,6 +210,7 @@ def _louvain(graph: Graph, s: Settings) -> DataFrame:
     while True:
         level = _level(pairs, s)
         if not level.m2:
+            level.close()
             break
         if last is None:
             last = level.quality()
@@ -238,6 +239,82 @@ def _both_ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("v", "u", "w"), F.struct(F.col("u").alias("v"), F.col("v").alias("u"), "w"))).alias("x")).select("x.*")
 
 
+class _Near:
+    """A level whose vertices look at one neighbour at a time: (v, c, deg), and links to each neighbour. What a pass found is only taken
+    over by `apply`."""
+
+    def __init__(self, links: DataFrame, s: Settings):
+        self.links, self.s = links, s
+        self.state, seen = observed(links.groupBy("v").agg(F.sum("w").alias("deg")).withColumn("c", F.col("v")), {"total": F.coalesce(F.sum("deg"), F.lit(0))})
+        self.total, self.found = float(seen["total"]), self.state
+
+    def move(self, even: bool) -> int:
+        s, total, state = self.s, self.total, self.state
+        size = state.groupBy("c").agg(F.count("*").alias("size"))
+        near = self.links.join(state.select(F.col("v").alias("u"), F.col("c").alias("to"), F.col("deg").alias("far")), "u").join(state.join(size, "c"), "v")
+        push: Column = s.resolution * F.col("w") - (F.col("deg") * F.col("far")).cast("float") / (2 * total)
+        same = s.resolution * F.col("w") - (F.col("deg") * (F.col("far") - F.col("deg"))).cast("float") / (2 * total)
+        gain = F.when(F.col("to") != F.col("c"), push).when(F.col("size") > 1, same).otherwise(0.0)
+        best = near.groupBy("v", "deg", "c").agg(F.max_by(F.struct("to"), F.struct(gain, -F.col("u"))).alias("b"), F.max(gain).alias("g"))
+        gate = F.col("b.to") < F.col("c") if even else F.col("b.to") > F.col("c")
+        goes = (F.col("g") > 0) & gate
+        new, seen = observed(best.select("v", "deg", F.when(goes, F.col("b.to")).otherwise(F.col("c")).alias("c"), goes.alias("moved")), {"moved": F.count_if("moved")})
+        self.found = new.drop("moved")
+        return seen["moved"]
+
+    def apply(self) -> None:
+        self.state = self.found
+
+    def close(self) -> DataFrame:
+        return self.state.select("v", "c")
+
+
+class _NearArrays:
+    """A level as `_Near`, with its state in arrays."""
+
+    def __init__(self, links: DataFrame, ids: DataFrame, s: Settings):
+        self.s, self.passes = s, _Passes(links.select("v", "u", "w"), ids)
+        self.c = self.found = np.arange(self.passes.vertices)
+        self.deg = np.zeros(self.passes.vertices, np.int64)
+        for low, deg in self.passes.over(_whole_degrees):
+            self.deg[low : low + len(deg)] += deg
+        self.total = float(self.deg.sum())
+
+    def move(self, even: bool) -> int:
+        resolution, total = self.s.resolution, self.total
+
+        def best(s, t, w, c, deg, size):
+            to, own, far = c[t], c[s], deg[t]
+            less = np.where(to != own, far, far - deg[s])
+            gain = resolution * w - (deg[s] * less).astype(np.float32).astype(float) / (2 * total)
+            gain = np.where((to == own) & (size[own] < 2), 0.0, gain)
+            order = np.lexsort((-t, gain, s))
+            last = order[_last(s[order])]
+            v, to, own = s[last], to[last], own[last]
+            goes = (gain[last] > 0) & (to < own if even else to > own)
+            return v[goes], to[goes]
+
+        self.found, moved = self.c.copy(), 0
+        for v, to in self.passes.over(best, self.c, self.deg, np.bincount(self.c, minlength=len(self.c))):
+            self.found[v] = to
+            moved += len(v)
+        return moved
+
+    def apply(self) -> None:
+        self.c = self.found
+
+    def close(self) -> DataFrame:
+        found = self.passes.state(self.c)
+        self.passes.close()
+        return found
+
+
+def _whole_degrees(s: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray]:
+    deg = np.zeros(int(s[-1] - s[0]) + 1, np.int64)
+    np.add.at(deg, s - s[0], w)
+    return int(s[0]), deg
+
+
 def _compat(graph: Graph, s: Settings) -> DataFrame:
     """Neighbour by neighbour. The state of a level is (v, c, deg): deg is the weight of all edge ends of the vertex; links are the
     weights to each neighbour, loops counted twice. What the last pass of a level would have moved stays where it is."""
@@ -245,36 +322,30 @@ def _compat(graph: Graph, s: Settings) -> DataFrame:
     track, q = None, -1.0
     links = renewed(_both_ends(edges).groupBy("v", "u").agg(F.sum("w").alias("w")))
     while True:
-        state, seen = observed(links.groupBy("v").agg(F.sum("w").alias("deg")).withColumn("c", F.col("v")), {"total": F.coalesce(F.sum("deg"), F.lit(0))})
-        total = float(seen["total"])
-        if not total:
+        ids = renewed(links.select(F.col("v").alias("id")).distinct())
+        level = _NearArrays(links, ids, s) if 0 < ids.count() <= s.held else _Near(links, s)
+        if not level.total:
+            level.close()
             break
         n, quiet, before, updates, applied = 0, 0, 0, -s.min_updates, False
         while True:
-            size = state.groupBy("c").agg(F.count("*").alias("size"))
-            near = links.join(state.select(F.col("v").alias("u"), F.col("c").alias("to"), F.col("deg").alias("far")), "u").join(state.join(size, "c"), "v")
-            push: Column = s.resolution * F.col("w") - (F.col("deg") * F.col("far")).cast("float") / (2 * total)
-            same = s.resolution * F.col("w") - (F.col("deg") * (F.col("far") - F.col("deg"))).cast("float") / (2 * total)
-            gain = F.when(F.col("to") != F.col("c"), push).when(F.col("size") > 1, same).otherwise(0.0)
-            best = near.groupBy("v", "deg", "c").agg(F.max_by(F.struct("to"), F.struct(gain, -F.col("u"))).alias("b"), F.max(gain).alias("g"))
-            gate = F.col("b.to") < F.col("c") if n % 2 == 0 else F.col("b.to") > F.col("c")
-            goes = (F.col("g") > 0) & gate
-            new, seen = observed(best.select("v", "deg", F.when(goes, F.col("b.to")).otherwise(F.col("c")).alias("c"), goes.alias("moved")), {"moved": F.count_if("moved")})
+            moved = level.move(n % 2 == 0)
             n += 1
             if n % 2:
                 updates = 0
-            updates += seen["moved"]
+            updates += moved
             if n % 2 == 0:
                 quiet += updates >= before - s.min_updates
                 before = updates
             if not (quiet <= 1 and updates > 0 and n < s.iterations):
                 break
-            state, applied = new.drop("moved"), True
+            applied = True
+            level.apply()
+        side = level.close()
         if applied:
-            track = _relabelled(track, state)
+            track = _relabelled(track, side)
         if not applied or n <= 2:
             break
-        side = state.select("v", "c")
         pairs = links.join(side, "v").join(side.withColumnsRenamed({"v": "u", "c": "d"}), "u")
         # communities as vertices; of parallel edges with equal weights one is kept
         folded = pairs.select(F.greatest("c", "d").alias("v"), F.least("c", "d").alias("u"), "w").distinct().groupBy("v", "u").agg(F.sum("w").alias("w"))
